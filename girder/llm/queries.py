@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm import bpe, exact_dedup, warc
+from girder.llm import bpe, exact_dedup, simhash, warc
 from girder.session import read_table
 
 
@@ -31,11 +31,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_groups(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_warc": op3_warc,
         "op4_exact_dedup": op4_exact_dedup,
         "op8_bpe": op8_bpe,
+        "op10_simhash": op10_simhash,
     }
 
 
