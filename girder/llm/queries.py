@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm import bpe, exact_dedup, simhash, warc
+from girder.llm import bpe, decontam, exact_dedup, simhash, warc
 from girder.session import read_table
 
 
@@ -19,6 +19,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated_spans(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,6 +43,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_warc": op3_warc,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_decontamination": op5_decontamination,
         "op8_bpe": op8_bpe,
         "op10_simhash": op10_simhash,
     }
