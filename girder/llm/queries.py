@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm import bpe, decontam, exact_dedup, simhash, warc
+from girder.llm import bpe, decontam, exact_dedup, quality, simhash, warc
+from girder.llm.common import crc_bucket
 from girder.session import read_table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    scored = quality.score_documents(docs, quality.fit(docs, labels, "quality", modulus=5, held_remainder=0))
+    return scored.select("doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(warc.write_archive(read_table(spark, sf_dir, "pages")))
 
@@ -41,6 +48,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
         "op3_warc": op3_warc,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_decontamination": op5_decontamination,
