@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm import bpe, decontam, exact_dedup, quality, simhash, warc
+from girder.llm import bpe, decontam, exact_dedup, quality, secrets, simhash, warc
 from girder.llm.common import crc_bucket
 from girder.session import read_table
 
@@ -18,6 +18,17 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
+
+    def joined(finds):
+        return F.array_join(F.transform(finds, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
+
+    base = F.filter("finds", lambda f: f["decoded_by"] == "")
+    counts = [F.size(F.filter(base, lambda f, k=k: f["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("finds")).alias("spans"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(warc.write_archive(read_table(spark, sf_dir, "pages")))
 
@@ -49,6 +60,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_secrets": op2_secrets,
         "op3_warc": op3_warc,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_decontamination": op5_decontamination,
