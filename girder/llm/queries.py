@@ -25,7 +25,11 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(finds, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
 
     base = F.filter("finds", lambda f: f["decoded_by"] == "")
-    counts = [F.size(F.filter(base, lambda f, k=k: f["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+
+    def count(kind: str):
+        return F.size(F.filter(base, lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in secrets.KINDS]
     return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("finds")).alias("spans"))
 
 
