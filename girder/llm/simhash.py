@@ -34,8 +34,6 @@ from girder.session import discard, materialize
 SEED = 42
 #: Fingerprints from which the upper tree is grown.
 SAMPLE = 16_384
-#: Residents that a shard should have.
-SHARD = 16_384
 LEAF = 128
 _CHUNK = 16_384
 
@@ -188,11 +186,16 @@ def link_shard(fp: np.ndarray, resident: np.ndarray, reach: int) -> np.ndarray:
     return forest.up
 
 
-def link_edges(distinct: DataFrame, reach: int, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
-    """Edges ``a, b`` that join all fingerprints linked by ``reach`` bits or fewer."""
+def link_edges(distinct: DataFrame, reach: int, sample: int = SAMPLE) -> DataFrame:
+    """Edges ``a, b`` that join all fingerprints linked by ``reach`` bits or fewer.
+
+    The number of shards grows as the root of the number of fingerprints: it balances the
+    rows of a shard against the visits, of which each level of the tree makes half as many
+    again.
+    """
     spark = distinct.sparkSession
     picked = [r[0] for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()]
-    shards = -(-distinct.count() // shard)
+    shards = int(np.ceil(np.sqrt(distinct.count()) / 4))
     tree = VantageTree(np.array(picked, np.int64).view(np.uint64), shards)
     tree_b = spark.sparkContext.broadcast(tree)  # at most ``sample`` nodes
 
