@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm import bpe, decontam, exact_dedup, quality, secrets, simhash, warc
+from girder.llm import bpe, decontam, exact_dedup, quality, secrets, simhash, toxicity, warc
 from girder.llm.common import crc_bucket
 from girder.session import read_table
 
@@ -45,6 +45,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated_spans(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    scored = toxicity.score_documents(docs, toxicity.fit(docs, labels, "toxic", modulus=4, held_remainder=2))
+    return scored.select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -68,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc": op3_warc,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_decontamination": op5_decontamination,
+        "op6_toxicity": op6_toxicity,
         "op8_bpe": op8_bpe,
         "op10_simhash": op10_simhash,
     }
