@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm import bpe, decontam, exact_dedup, quality, secrets, simhash, toxicity, warc
+from girder.llm import bpe, decontam, exact_dedup, maxent_lm, quality, secrets, simhash, toxicity, warc
 from girder.llm.common import crc_bucket
 from girder.session import read_table
 
@@ -51,6 +51,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score_documents(read_table(spark, sf_dir, "documents"), modulus=7, held_remainder=2)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_dedup": op4_exact_dedup,
         "op5_decontamination": op5_decontamination,
         "op6_toxicity": op6_toxicity,
+        "op7_language_model": op7_language_model,
         "op8_bpe": op8_bpe,
         "op10_simhash": op10_simhash,
     }
