@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm import bpe, decontam, exact_dedup, maxent_lm, quality, secrets, simhash, toxicity, warc
+from girder.llm import bpe, decontam, exact_dedup, license_scan, maxent_lm, quality, secrets, simhash, toxicity, warc
 from girder.llm.common import crc_bucket
 from girder.session import read_table
 
@@ -67,6 +67,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.find_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(read_table(spark, sf_dir, "documents"))
 
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": op6_toxicity,
         "op7_language_model": op7_language_model,
         "op8_bpe": op8_bpe,
+        "op9_license_scan": op9_license_scan,
         "op10_simhash": op10_simhash,
     }
 
