@@ -24,8 +24,8 @@ from girder.llm.common import text_or_empty
 
 #: Words that differ, as a share of the template's, at most.
 DIFFERENCES = 0.1
-#: Share of its own compressed size that a template has to save.
-SAVED = 0.2
+#: Share of its own compressed size that a template has to save; short notices save few whole bytes.
+SAVED = 0.01
 #: Templates that are confirmed for a candidate, those that save most first; ties go with the last.
 WINNERS = 4
 
