@@ -1,8 +1,9 @@
 """A hashed maximum-entropy language model with class-factored softmax.
 
-``log10 p(w | h) = log10 p(class(w) | h) + log10 p(w | class(w))``. The class of the next
-token is a softmax over hashed n-gram and skip features of the three tokens before it,
-trained by distributed gradient updates. Within a class a token has its word bias alone,
+``log10 p(w | h) = log10 p(group(w) | h) + log10 p(class(w) | group(w), h) + log10 p(w | class(w))``.
+The group of the next token's class, and the class within its group, are softmaxes over
+hashed n-gram and skip features of the tokens before it, trained by distributed gradient
+updates. Within a class a token has its word bias alone,
 whose maximum-entropy solution is closed: the counts of the training tokens, with one added
 to each and one more for all unknown tokens of the class. The most frequent tokens are
 classes of their own, and the others are classed by how they end.
@@ -30,11 +31,15 @@ from pyspark.sql import functions as F
 from girder.llm.common import crc_bucket, text_or_empty
 from girder.session import materialize
 
-CLASSES, SINGLES = 64, 32
-BUCKETS = 8192
+GROUPS, PER_GROUP = 8, 8
+CLASSES, SINGLES = GROUPS * PER_GROUP, 32
+FEATURES, BUCKET_BITS = 3, 12
+BUCKETS = 1 << BUCKET_BITS
+#: Rows of a feature's weights: one softmax over groups, and one for each group.
+ROWS = (FEATURES * BUCKETS + 1) * (GROUPS + 1)
 #: Tokens whose counts are broadcast.
 HEAD = 200_000
-MINIBATCH = 4096
+MINIBATCH = 16_384
 RATE = 0.5
 #: One text in so many goes into the first round.
 FIRST_ROUND = 16
@@ -59,19 +64,25 @@ def ending_class(token: bytes) -> int:
 
 
 class Codes(dict):
-    """Token to hash and class, as ``hash << 8 | class``; holds a bounded number of tokens."""
+    """Token to ``place in the head << 40 | hash << 8 | class``; holds a bounded number of tokens.
 
-    def __init__(self, singles: dict[bytes, int]) -> None:
+    The place counts from 1; rare tokens have 0.
+    """
+
+    def __init__(self, singles: dict[bytes, int], head: dict[bytes, int] | None = None) -> None:
         super().__init__()
-        self.singles = singles
+        self.singles, self.head = singles, head or {}
 
     def __missing__(self, token: bytes) -> int:
         if len(self) >= _KNOWN_WORDS:
             self.clear()
         kind = self.singles.get(token)
-        code = self[token] = zlib.crc32(token) << 8 | (ending_class(token) if kind is None else kind)
+        code = self[token] = self.head.get(token, 0) << 40 | zlib.crc32(token) << 8 | (ending_class(token) if kind is None else kind)
         return code
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
 
 def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
@@ -80,7 +91,10 @@ def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def features(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For each token the buckets of its four features; ``starts`` are where texts begin."""
+    """For each token the buckets of its features; ``starts`` are where texts begin.
+
+    They are the token before, the two before together, and the one before the last alone.
+    """
 
     def back(h: np.ndarray) -> np.ndarray:
         out = np.empty_like(h)
@@ -88,45 +102,62 @@ def features(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         out[starts] = _START
         return out
 
-    one = back((codes >> 8).astype(np.uint64))
+    one = back((codes >> 8 & 0xFFFFFFFF).astype(np.uint64))
     two = back(one)
-    three = back(two)
-    out = np.empty((4, len(codes)), np.int64)
-    for row, key in enumerate((one * _MIX, (one * _MIX ^ two) * _MIX, two * _MIX, three * _MIX)):
-        out[row] = (key >> np.uint64(64 - 13)).astype(np.int64) + row * BUCKETS
+    out = np.empty((FEATURES, len(codes)), np.int64)
+    for row, key in enumerate((one * _MIX, (one * _MIX ^ two) * _MIX, two * _MIX)):
+        out[row] = (key >> np.uint64(64 - BUCKET_BITS)).astype(np.int64) + row * BUCKETS
     return out
 
 
 class Weights:
-    """Feature weights by class, and how often each feature was seen."""
+    """Weights by feature and softmax, and how often each was trained on."""
 
     def __init__(self) -> None:
-        self.w = np.zeros((4 * BUCKETS + 1, CLASSES), np.float32)  # the last row is the bias
-        self.seen = np.zeros(4 * BUCKETS + 1, np.float32)
-
-    def log_probs(self, at: np.ndarray) -> np.ndarray:
-        logits = self.w[at[0]]
-        for row in at[1:]:
-            logits += self.w[row]
-        logits += self.w[-1]
-        logits -= logits.max(axis=1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        self.w = np.zeros((ROWS, PER_GROUP), np.float32)  # the last feature is the bias
+        self.seen = np.zeros(ROWS, np.float32)
+
+    def _rows(self, at: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """For each feature, and the bias, the rows of the two softmaxes that a token takes."""
+        base = np.concatenate((at, np.full((1, at.shape[1]), FEATURES * BUCKETS))) * (GROUPS + 1)
+        return np.stack((base, base + 1 + group), axis=1)
+
+    def _log_softmax(self, rows: np.ndarray) -> np.ndarray:
+        logits = self.w[rows[0]]
+        for r in rows[1:]:
+            logits += self.w[r]
+        logits -= logits.max(axis=2, keepdims=True)
+        logits -= np.log(np.exp(logits).sum(axis=2, keepdims=True))
         return logits
 
+    def log_probs(self, at: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Natural logarithm of each token's class probability."""
+        group = kind // PER_GROUP
+        logs = self._log_softmax(self._rows(at, group))
+        n = np.arange(len(kind))
+        return logs[0, n, group].astype(np.float64) + logs[1, n, kind % PER_GROUP]
+
     def step(self, at: np.ndarray, kind: np.ndarray) -> None:
-        """One minibatch step; rates fall with the root of how often a feature was seen."""
-        grad = np.exp(self.log_probs(at))
-        grad[np.arange(len(kind)), kind] -= 1
-        for row in at:
-            order = np.argsort(row, kind="stable")
-            ordered = row[order]
-            first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-            bucket = ordered[first]
-            self.seen[bucket] += np.diff(np.concatenate((first, [len(row)])))
-            total = np.add.reduceat(grad[order], first, axis=0)
-            self.w[bucket] -= (RATE / np.sqrt(1 + self.seen[bucket]))[:, None] * total
-        self.seen[-1] += len(kind)
-        self.w[-1] -= RATE / np.sqrt(1 + self.seen[-1]) * grad.sum(axis=0)
+        """One minibatch step; the rate falls with the root of how often a weight was trained on."""
+        group, n = kind // PER_GROUP, np.arange(len(kind))
+        rows = self._rows(at, group)
+        grad = np.exp(self._log_softmax(rows))
+        grad[0, n, group] -= 1
+        grad[1, n, kind % PER_GROUP] -= 1
+        flat, values = rows.reshape(len(rows), -1), grad.reshape(-1, PER_GROUP)
+        m = np.bincount(flat.ravel(), minlength=ROWS)
+        hit = np.flatnonzero(m)
+        place = np.empty(ROWS, np.int64)
+        place[hit] = np.arange(len(hit))
+        m, where = m[hit], place[flat]
+        total = np.zeros((len(hit), PER_GROUP))
+        for j in range(PER_GROUP):
+            column = np.ascontiguousarray(values[:, j])
+            for r in where:
+                total[:, j] += np.bincount(r, column, len(hit))
+        self.seen[hit] += m
+        rate = RATE / np.sqrt((1 + self.seen[hit]) * (1 + m / 16))
+        self.w[hit] -= (rate[:, None] * total).astype(np.float32)
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
@@ -145,7 +176,8 @@ def count_tokens(texts: DataFrame) -> DataFrame:
             if len(held) > _PENDING:
                 yield out()
                 held.clear()
-        yield out()
+        if held:
+            yield out()
 
     counted = texts.mapInPandas(run, "token string, ending int, n long")
     return counted.groupBy("token").agg(F.max("ending").alias("ending"), F.sum("n").alias("n"))
@@ -163,7 +195,7 @@ def train_round(texts: DataFrame, weights: Weights, singles: dict[bytes, int]) -
         codes = Codes(own)
         for part in _slices(batches):
             docs = [tokens(t) for t in part["text"]]
-            got = np.fromiter((codes[x] for d in docs for x in d), np.int64)
+            got = codes.of([x for d in docs for x in d])
             starts = np.concatenate(([0], np.cumsum([len(d) for d in docs])[:-1])).astype(np.int64)
             at, kind = features(got, starts), got & 255
             for k in range(0, len(got), MINIBATCH):
@@ -175,29 +207,35 @@ def train_round(texts: DataFrame, weights: Weights, singles: dict[bytes, int]) -
             yield pd.DataFrame({"bucket": rows[k : k + 4096].astype(np.int32), "n": new[rows[k : k + 4096]].astype(np.float64), "delta": [x.tobytes() for x in delta[k : k + 4096]]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((4 * BUCKETS + 1, CLASSES))
-        n = np.zeros(4 * BUCKETS + 1)
+        total = np.zeros((ROWS, PER_GROUP))
+        n = np.zeros(ROWS)
         for batch in batches:
             b = batch["bucket"].to_numpy()
             np.add.at(n, b, batch["n"].to_numpy())
-            np.add.at(total, b, np.frombuffer(b"".join(batch["delta"]), np.float32).reshape(-1, CLASSES))
+            np.add.at(total, b, np.frombuffer(b"".join(batch["delta"]), np.float32).reshape(-1, PER_GROUP))
         rows = np.flatnonzero(n)
-        yield pd.DataFrame({"bucket": rows.astype(np.int32), "n": n[rows], "delta": [x.astype(np.float32).tobytes() for x in total[rows]]})
+        if len(rows):
+            yield pd.DataFrame({"bucket": rows.astype(np.int32), "n": n[rows], "delta": [x.astype(np.float32).tobytes() for x in total[rows]]})
 
     made = texts.mapInPandas(run, "bucket int, n double, delta binary").repartition("bucket").mapInPandas(add, "bucket int, n double, delta binary")
     out = Weights()
     out.w, out.seen = weights.w.copy(), weights.seen.copy()
-    for r in made.collect():  # one row for each feature: as many as the weights have
-        out.w[r["bucket"]] += np.frombuffer(bytes(r["delta"]), np.float32) / np.float32(r["n"])
-        out.seen[r["bucket"]] += np.float32(r["n"])
+    got = made.toArrow()  # a row for each row of weights at most
+    if got.num_rows:
+        rows, n = got["bucket"].to_numpy(), got["n"].to_numpy()
+        delta = np.frombuffer(b"".join(got["delta"].to_pylist()), np.float32).reshape(-1, PER_GROUP)
+        out.w[rows] += delta / n[:, None].astype(np.float32)
+        out.seen[rows] += n.astype(np.float32)
     return out
 
 
 class Model:
     """Counts and weights: all that scoring broadcasts, of fixed size."""
 
-    def __init__(self, weights: Weights, singles: dict[bytes, int], head: dict[bytes, float], class_log: np.ndarray) -> None:
-        self.weights, self.singles, self.head, self.class_log = weights, singles, head, class_log
+    def __init__(self, weights: Weights, singles: dict[bytes, int], head: list[tuple[bytes, int]], class_log: np.ndarray) -> None:
+        self.weights, self.singles, self.class_log = weights, singles, class_log
+        self.head = {w: i for i, (w, _) in enumerate(head, 1)}
+        self.head_log = np.log10(np.array([0] + [n for _, n in head]) + 1.0)
         self._codes = None
 
     def __getstate__(self) -> dict:
@@ -206,27 +244,27 @@ class Model:
     def measure(self, texts: list[str]) -> dict[str, list]:
         """For each text its tokens, those of the head, their summed logs, and its rare tokens."""
         if self._codes is None:
-            self._codes = Codes(self.singles)
+            self._codes = Codes(self.singles, self.head)
         docs = [tokens(t) for t in texts]
         sizes = np.array([len(d) for d in docs])
         words = [x for d in docs for x in d]
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
-        codes = np.fromiter(map(self._codes.__getitem__, words), np.int64, len(words))
-        logs = np.fromiter(map(self.head.get, words, repeat(np.nan)), np.float64, len(words))
-        rare = np.isnan(logs)
+        codes = self._codes.of(words)
+        place = codes >> 40
         at, kind = features(codes, starts), codes & 255
         own = np.empty(len(words))
         for k in range(0, len(words), MINIBATCH):
-            part = kind[k : k + MINIBATCH]
-            own[k : k + MINIBATCH] = self.weights.log_probs(at[:, k : k + MINIBATCH])[np.arange(len(part)), part]
+            own[k : k + MINIBATCH] = self.weights.log_probs(at[:, k : k + MINIBATCH], kind[k : k + MINIBATCH])
         own = own / np.log(10) - self.class_log[kind]
-        places = np.split(np.flatnonzero(rare), np.searchsorted(np.flatnonzero(rare), starts[1:]))
+        rare = np.flatnonzero(place == 0)
+        cuts = np.searchsorted(rare, starts).tolist() + [len(rare)]
+        spelt = [words[i].decode("utf-8") for i in rare.tolist()]
         return {
             "n_tokens": sizes,
-            "n_head": np.add.reduceat((~rare).astype(np.int64), starts),
-            "head_log": np.add.reduceat(np.where(rare, 0.0, logs), starts),
+            "n_head": np.add.reduceat((place > 0).astype(np.int64), starts),
+            "head_log": np.add.reduceat(self.head_log[place], starts),
             "model_log": np.add.reduceat(own, starts),
-            "rare": [[words[i].decode("utf-8") for i in p] for p in places],
+            "rare": [spelt[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
         }
 
 
@@ -236,9 +274,10 @@ def fit(vocabulary: DataFrame, texts: DataFrame, order: str) -> tuple[Model, int
     Also returns the number of tokens and of distinct tokens.
     """
     size = vocabulary.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    top = vocabulary.orderBy(F.desc("n"), "token").limit(HEAD).select("token", "n").collect()
-    singles = {r["token"].encode("utf-8"): i for i, r in enumerate(top[:SINGLES])}
-    own = [r["token"] for r in top[:SINGLES]]
+    got = vocabulary.orderBy(F.desc("n"), "token").limit(HEAD).select("token", "n").toArrow()
+    head = list(zip((t.encode("utf-8") for t in got["token"].to_pylist()), got["n"].to_pylist(), strict=True))
+    singles = {t: i for i, (t, _) in enumerate(head[:SINGLES])}
+    own = [t.decode("utf-8") for t in singles]
     named = F.when(F.col("token").isin(own), F.array_position(F.array(*map(F.lit, own)), F.col("token")).cast("int") - 1).otherwise(F.col("ending")) if own else F.col("ending")
     class_size = np.ones(CLASSES)
     for r in vocabulary.groupBy(named.alias("kind")).agg((F.sum("n") + F.count(F.lit(1)) + 1).alias("n")).collect():
@@ -247,7 +286,6 @@ def fit(vocabulary: DataFrame, texts: DataFrame, order: str) -> tuple[Model, int
     first = F.pmod(F.xxhash64(order), F.lit(FIRST_ROUND)) == 0
     weights = train_round(texts.where(first).select("text"), weights, singles)
     weights = train_round(texts.where(~first).select("text"), weights, singles)
-    head = {r["token"].encode("utf-8"): float(np.log10(r["n"] + 1)) for r in top}
     return Model(weights, singles, head, np.log10(class_size)), int(size[1]), int(size[0])
 
 
