@@ -299,4 +299,4 @@ def contaminated_spans(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: float = EDITS) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item; rows without an id stay."""
     gone = contaminated_spans(docs, benchmark, id_col, text_col, edits=edits).select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone_id"), "left_anti")
+    return docs.join(gone, docs[id_col].cast("long") == gone["_gone_id"], "left_anti")

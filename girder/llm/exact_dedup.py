@@ -106,5 +106,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     groups = exact_groups(docs, id_col, text_col, salts)
     gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"))
-    sha = F.sha2(F.regexp_replace(text_or_empty(text_col), BLANKS, "").cast("binary"), 256)
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_gone_id")) & (sha == F.col("_gone_sha")), "left_anti")
+    sha = F.sha2(F.regexp_replace(F.coalesce(docs[text_col].cast("string"), F.lit("")), BLANKS, "").cast("binary"), 256)
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_gone_id"]) & (sha == gone["_gone_sha"]), "left_anti")

@@ -269,4 +269,4 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     groups = near_duplicate_groups(docs, id_col, text_col, width, reach)
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone_id"), "left_anti")
+    return docs.join(gone, docs[id_col].cast("long") == gone["_gone_id"], "left_anti")
