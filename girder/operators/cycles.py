@@ -39,6 +39,8 @@ def elementary_cycles(edges: DataFrame, components: DataFrame | None = None, lon
                     break
             if len(out) >= cap:
                 break
+        if not out:
+            return pd.DataFrame()
         return pd.DataFrame({"scc": [rows["scc"].iloc[0]] * len(out), "path": out, "length": [len(p) - 1 for p in out]})
 
     return inner.groupBy("scc").applyInPandas(walk, f"scc {kind}, path array<{kind}>, length int")

@@ -109,7 +109,8 @@ def reach(edges: DataFrame, seeds: DataFrame | None = None, most: int | None = N
                 if seed in g.at:
                     far = g.distances(g.at[seed], most)
                     hit = np.flatnonzero(far >= 0)
-                    yield pd.DataFrame({"seed": [seed] * len(hit), "node": labels[hit], "steps": far[hit]})
+                    if len(hit):
+                        yield pd.DataFrame({"seed": [seed] * len(hit), "node": labels[hit], "steps": far[hit]})
 
     return _spread(seeds, graph).mapInPandas(search, f"seed {kind}, node {kind}, steps long")
 
@@ -165,7 +166,8 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
                             at = int(min(x for x in after if x == goal and far[at] == 1 or far[x] == far[at] - 1 and x != goal))
                             path.append(g.labels[at])
                         out.append((source, target, path))
-            yield pd.DataFrame(out, columns=["source", "target", "path"])
+            if out:
+                yield pd.DataFrame(out, columns=["source", "target", "path"])
 
     return pairs.select("source", "target").distinct().mapInPandas(find, f"source {kind}, target {kind}, path array<{kind}>")
 
@@ -236,7 +238,8 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                 if seed in g.at:
                     total += _dependencies(g, g.at[seed])
         hit = np.flatnonzero(total)
-        yield pd.DataFrame({"id": [g.labels[i] for i in hit], "share": total[hit]})
+        if len(hit):
+            yield pd.DataFrame({"id": [g.labels[i] for i in hit], "share": total[hit]})
 
     seeds = _spread(nodes.select(F.col("id").alias("seed")), graph)
     shares = seeds.mapInPandas(run, f"id {kind}, share double").groupBy("id").agg(F.sum("share").alias("share"))

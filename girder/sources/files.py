@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from girder.config import Settings
 from girder.functions.names import any_glob, extension, is_init, python_loc, python_module, script_module
 from girder.operators.graph import package_of
+from girder.session import hadoop_path
 
 # Extensions of each language (fixed values).
 EXTENSIONS = {"python": (".py",), "javascript": (".js", ".jsx", ".mjs", ".cjs"), "typescript": (".ts", ".tsx", ".mts", ".cts")}
@@ -25,7 +26,12 @@ def read_tree(spark: SparkSession, root: str, settings: Settings | None = None)
     # paths come as URIs; the tree's own part is what follows its last mention of the root
     rel = F.expr("substring(path, instr(path, '{0}/') + length('{0}/'))".format(base.split(":", 1)[-1].replace("'", "''")))
     known = [e for lang in settings.languages for e in EXTENSIONS[lang]]
-    kept = rows.select(rel.alias("rel_path"), "content").where(extension(F.col("rel_path")).isin(known) & in_open_directories("rel_path", settings.exclude_dirs))
+    found = rows.select(rel.alias("rel_path"), "content")
+    # the reader passes over files without content, which still are modules
+    empty = [(p,) for p in _empty_files(spark, base)]
+    if empty:
+        found = found.unionByName(spark.createDataFrame(empty, "rel_path string").withColumn("content", F.lit(b"").cast("binary")))
+    kept = found.where(extension(F.col("rel_path")).isin(known) & in_open_directories("rel_path", settings.exclude_dirs))
     depth_first = F.transform(F.split("rel_path", "/"), lambda p, i: F.when(i == F.size(F.split("rel_path", "/")) - 1, F.concat(F.lit("0"), p)).otherwise(F.concat(F.lit("1"), p)))
     # the list of paths alone is ordered, contents stay where they are
     place = kept.select("rel_path", depth_first.alias("_key"))
@@ -33,6 +39,20 @@ def read_tree(spark: SparkSession, root: str, settings: Settings | None = None)
     return kept.withColumn("content", F.decode("content", "UTF-8")).join(ordered, "rel_path")
 
 
+def _empty_files(spark: SparkSession, root: str) -> list[str]:
+    """Paths below ``root`` of files without content, from the file system's own listing."""
+    fs, p = hadoop_path(spark, root)
+    if not fs.exists(p):
+        return []
+    top = fs.makeQualified(p).toUri().getPath().rstrip("/") + "/"
+    out, files = [], fs.listFiles(p, True)
+    while files.hasNext():
+        f = files.next()
+        if f.getLen() == 0:
+            out.append(f.getPath().toUri().getPath().removeprefix(top))
+    return out
+
+
 def in_open_directories(path: str, closed: tuple[str, ...]):
     """No directory of the path is closed or hidden; the file's own name doesn't count."""
     parts = F.split(path, "/")
