@@ -45,6 +45,7 @@ for _i, _g in enumerate(_GROUPS.values()):
 _MARK = np.zeros(256, bool)
 _MARK[list(_GROUPS["hash_like"]) + [33, 124]] = True
 _P = np.uint64(0x9E3779B97F4A7C15)
+_PIECE = 1 << 20
 
 
 def _repeats(codes: np.ndarray) -> tuple[float, float]:
@@ -57,6 +58,32 @@ def _repeats(codes: np.ndarray) -> tuple[float, float]:
     return 1 - len(first) / len(codes), float(sizes.max() / len(codes))
 
 
+def _word_codes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A code for each word: its bytes, each mixed with its place, summed up.
+
+    Words are gone through some at a time, and longer ones piece by piece: texts can be long.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    k = 0
+    while k < len(starts):
+        j = max(k + 1, int(np.searchsorted(ends, starts[k] + _PIECE, "right")))
+        first = starts[k:j] - starts[k]
+        for at in range(int(starts[k]), int(ends[j - 1]), _PIECE * 2):
+            part = b[at : min(at + _PIECE * 2, int(ends[j - 1]))]
+            place = np.arange(len(part)) + (at - starts[k])
+            if j > k + 1:  # several words, in one piece
+                place -= np.repeat(first, np.diff(np.append(first, len(part))))
+            mixed = (part.astype(np.uint64) + np.uint64(1)) * (place.astype(np.uint64) * np.uint64(2) + np.uint64(1)) * _P
+            mixed ^= mixed >> np.uint64(29)
+            if j > k + 1:
+                mixed[_BLANK[part]] = 0
+                out[k:j] = np.add.reduceat(mixed, first)
+            else:
+                out[k : k + 1] += mixed.sum(dtype=np.uint64)
+        k = j
+    return out
+
+
 def statistics(text: str) -> np.ndarray:
     """The statistics :data:`NAMES` of one whole text; zeros for an empty one."""
     raw = text.encode("utf-8", "replace")
@@ -71,12 +98,7 @@ def statistics(text: str) -> np.ndarray:
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     size = ends - starts
     if len(size):
-        # a code for each word: its bytes weighted by place
-        place = (np.arange(n) - np.repeat(starts, np.diff(np.concatenate((starts, [n])))) if starts[0] == 0 else np.arange(n) - np.concatenate((np.zeros(starts[0], np.int64), np.repeat(starts, np.diff(np.concatenate((starts, [n])))))))
-        mixed = (b.astype(np.uint64) + np.uint64(1)) * (place.astype(np.uint64) * np.uint64(2) + np.uint64(1)) * _P
-        mixed[blank] = 0
-        mixed ^= mixed >> np.uint64(29)
-        word = np.add.reduceat(mixed, starts)
+        word = _word_codes(b, starts, ends)
         repeat, top = _repeats(word)
         pair = word[:-1] * _P + word[1:]
         pair_repeat = _repeats(pair)[0]

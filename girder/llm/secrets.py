@@ -43,6 +43,8 @@ _LONG_HEX = re.compile(r"[0-9a-f]{24}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPES = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
+_DEEP_PERCENT = re.compile(r"%(?:25){8,}")
+_DEEP_ESCAPE = re.compile(r"\\(u005[cC]|x5[cC])\1{7,}")
 #: Fewest characters of a run that is tried as base64.
 BASE64_LEAST = 16
 _BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{{BASE64_LEAST},}}={{0,2}}")
@@ -97,6 +99,10 @@ def _substitute(layer: Layer, pieces: list[tuple[int, int, str]], how: str) -> L
 
 
 def _percent(layer: Layer) -> Iterator[Layer]:
+    deep = [(m.start(), m.end(), "%25") for m in _DEEP_PERCENT.finditer(layer.text)] if "%2525" in layer.text else []
+    if deep:  # many layers of nothing but percent signs are taken off at once
+        yield _substitute(layer, deep, "url")
+        return
     pieces = []
     if "%" in layer.text:
         for m in _PERCENT.finditer(layer.text):
@@ -115,6 +121,10 @@ def _percent(layer: Layer) -> Iterator[Layer]:
 
 
 def _unicode(layer: Layer) -> Iterator[Layer]:
+    deep = [(m.start(), m.end(), "\\" + m[1]) for m in _DEEP_ESCAPE.finditer(layer.text)] if "\\" in layer.text else []
+    if deep:  # likewise layers of backslashes
+        yield _substitute(layer, deep, "unicode")
+        return
     pieces = []
     if "\\" in layer.text:
         for run in _ESCAPES.finditer(layer.text):
