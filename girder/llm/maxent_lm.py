@@ -123,38 +123,36 @@ class Weights:
         return np.stack((base, base + 1 + group), axis=1)
 
     def _log_softmax(self, rows: np.ndarray) -> np.ndarray:
-        logits = self.w[rows[0]]
-        for r in rows[1:]:
-            logits += self.w[r]
-        logits -= logits.max(axis=2, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=2, keepdims=True))
+        """Log-probabilities with the outcomes first: ``(PER_GROUP, 2 n)``, the groups' part before the classes'."""
+        flat = rows.reshape(len(rows), -1)
+        logits = self.w.take(flat[0], axis=0)
+        for r in flat[1:]:
+            logits += self.w.take(r, axis=0)
+        logits = np.ascontiguousarray(logits.T)
+        logits -= logits.max(axis=0)
+        logits -= np.log(np.exp(logits).sum(axis=0))
         return logits
 
     def log_probs(self, at: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """Natural logarithm of each token's class probability."""
-        group = kind // PER_GROUP
+        group, n = kind // PER_GROUP, np.arange(len(kind))
         logs = self._log_softmax(self._rows(at, group))
-        n = np.arange(len(kind))
-        return logs[0, n, group].astype(np.float64) + logs[1, n, kind % PER_GROUP]
+        return logs[group, n].astype(np.float64) + logs[kind % PER_GROUP, n + len(kind)]
 
     def step(self, at: np.ndarray, kind: np.ndarray) -> None:
         """One minibatch step; the rate falls with the root of how often a weight was trained on."""
         group, n = kind // PER_GROUP, np.arange(len(kind))
         rows = self._rows(at, group)
-        grad = np.exp(self._log_softmax(rows))
-        grad[0, n, group] -= 1
-        grad[1, n, kind % PER_GROUP] -= 1
-        flat, values = rows.reshape(len(rows), -1), grad.reshape(-1, PER_GROUP)
-        m = np.bincount(flat.ravel(), minlength=ROWS)
+        grad = np.exp(self._log_softmax(rows)).astype(np.float64)
+        grad[group, n] -= 1
+        grad[kind % PER_GROUP, n + len(kind)] -= 1
+        flat = rows.ravel()
+        m = np.bincount(flat, minlength=ROWS)
         hit = np.flatnonzero(m)
         place = np.empty(ROWS, np.int64)
         place[hit] = np.arange(len(hit))
         m, where = m[hit], place[flat]
-        total = np.zeros((len(hit), PER_GROUP))
-        for j in range(PER_GROUP):
-            column = np.ascontiguousarray(values[:, j])
-            for r in where:
-                total[:, j] += np.bincount(r, column, len(hit))
+        total = np.stack([np.bincount(where, np.tile(g, len(rows)), len(hit)) for g in grad], axis=1)
         self.seen[hit] += m
         rate = RATE / np.sqrt((1 + self.seen[hit]) * (1 + m / 16))
         self.w[hit] -= (rate[:, None] * total).astype(np.float32)
@@ -271,10 +269,10 @@ class Model:
 def frequent_tokens(vocabulary: DataFrame, most: int) -> list[tuple[bytes, int]]:
     """The most frequent tokens, by falling count: all above the least level that leaves at most ``most``.
 
-    Levels are eighths of a power of two of the count. Counting tokens by level takes no sort
-    and sends a few hundred numbers, however many tokens there are.
+    Levels are the counts up to 4096, then eighths of a power of two. Counting tokens by level
+    takes no sort and sends a few thousand numbers, however many tokens there are.
     """
-    level = F.floor(F.log2("n") * 8)
+    level = F.when(F.col("n") <= 4096, F.col("n")).otherwise(4096 + F.floor(F.log2("n") * 8)).cast("long")
     left, least = most, None
     for r in sorted(vocabulary.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
         left -= r["n"]
