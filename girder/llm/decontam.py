@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from girder.llm.common import text_or_empty
 
 Q = 12
+#: From this q on items share the least.
+SHARED_Q = 8
 #: Edits allowed, as a share of the item's length.
-EDITS = 0.06
+EDITS = 0.08
 #: Characters of items that are broadcast at a time.
 BLOCK_CHARS = 4_000_000
 
@@ -96,22 +98,34 @@ class Item:
 
 
 def make_items(rows: list[tuple[int, str | None]], q: int = Q, edits: float = EDITS) -> list[Item]:
-    """Items with their edit budget, the q that keeps the lemma's bound at 1 or more, and that bound."""
+    """Items with their edit budget, the largest q that keeps the lemma's bound selective, and that bound."""
     out = []
     for item_id, text in rows:
         t = compared(text or "")
         if t:
             k = int(edits * len(t))
-            own = max(1, min(q, len(t) // (k + 1)))
-            out.append(Item(item_id, t, k, own, max(1, len(t) + 1 - own - k * own)))
+            own = next((x for x in range(min(q, len(t)), 0, -1) if bound(len(t), x, k) >= max(1, len(t) // 8)), max(1, min(q, len(t) // (k + 1))))
+            out.append(Item(item_id, t, k, own, max(1, bound(len(t), own, k))))
+    # Texts are gone through once for each q, and a smaller q serves an item as well: the
+    # longer ones of a benchmark share one.
+    shared = min((i.q for i in out if i.q >= SHARED_Q), default=0)
+    for i in out:
+        if i.q >= SHARED_Q:
+            i.q, i.least = shared, max(1, bound(len(i.text), shared, i.edits))
     return out
 
 
+def bound(m: int, q: int, k: int) -> int:
+    """The q-gram lemma: shared q-grams of ``m`` characters and a copy with ``k`` edits, at least."""
+    return m + 1 - q - k * q
+
+
 class ItemIndex:
     """The q-grams of a block of items: for each q a bit map, and sorted codes with their places."""
 
     def __init__(self, items: list[Item]) -> None:
         self.items = items
+        self.edits, self.least = np.array([i.edits for i in items]), np.array([i.least for i in items])
         self.by_q: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for q in sorted({i.q for i in items}):
             codes, owner, place = [], [], []
@@ -139,12 +153,21 @@ class ItemIndex:
                 continue
             at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
             hit = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            who, diagonal = owner[hit], np.repeat(at, n) - place[hit]
-            yield from self._bands(who, diagonal)
-
-    def _bands(self, who: np.ndarray, diagonal: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        edits = np.array([i.edits for i in self.items])[who]
-        least = np.array([i.least for i in self.items])
+            yield from self._bands(owner[hit], np.repeat(at, n), place[hit])
+
+    def _bands(self, who: np.ndarray, where: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Bands with enough hits, counted by different places in the item and in the text.
+
+        In an alignment every shared q-gram has its own place in both; text that repeats
+        itself hits one place again and again.
+        """
+        enough = np.bincount(who, minlength=len(self.items)) >= self.least
+        keep = enough[who]
+        if not keep.any():
+            return
+        who, where, place = who[keep], where[keep], place[keep]
+        diagonal = where - place
+        edits, least = self.edits[who], self.least
         width = 4 * edits + 2  # any 2 k + 1 neighbouring diagonals lie within a band of one offset
         for offset in (np.zeros_like(width), width // 2):
             band = (diagonal + offset) // width
@@ -153,7 +176,10 @@ class ItemIndex:
             cut = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (b[1:] != b[:-1]))))
             count = np.diff(np.concatenate((cut, [len(w)])))
             good = cut[count >= least[w[cut]]]
-            for i in good:
+            for i, n in zip(good.tolist(), count[count >= least[w[cut]]].tolist(), strict=True):
+                rows = order[i : i + n]
+                if min(len(np.unique(place[rows])), len(np.unique(where[rows]))) < least[w[i]]:
+                    continue
                 first = int(b[i]) * int(width[order[i]]) - int(offset[order[i]])
                 yield int(w[i]), first, first + int(width[order[i]]) - 1
 
