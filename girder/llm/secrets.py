@@ -6,21 +6,25 @@ what that unpacks to. A worklist decodes and rescans layer after layer until non
 a layer whose content was met before along its own chain of decodings is a cycle and ends
 there. Every layer keeps, for each of its characters, the span of the original text that
 it was made from, so that a find in any depth names code points of the document.
+
+Compressed data is unpacked as a stream, member after member to its end, and read in
+windows of about :data:`PIECE` bytes that are parted only where no find and nothing to
+decode can cross. A window grows as long as there is no such place. Bytes that are not
+UTF-8 stand for the Latin-1 characters of their numbers.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
-import gzip
 import hashlib
 import lzma
 import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
+from itertools import chain as joined
 
 import numpy as np
 import pandas as pd
@@ -48,25 +52,37 @@ _DEEP_ESCAPE = re.compile(r"\\(u005[cC]|x5[cC])\1{7,}")
 #: Fewest characters of a run that is tried as base64.
 BASE64_LEAST = 16
 _BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{{BASE64_LEAST},}}={{0,2}}")
-#: Bytes that one compressed layer may unpack to for each byte that it has, and at least.
-EXPANSION, EXPANSION_LEAST = 1100, 1 << 20
+#: Bytes unpacked at a time.
+PIECE = 1 << 20
+#: Where neither a find nor anything to decode goes on, but for runs of \x escapes in a line.
+_PARTS = re.compile(rb"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])|(?<=[,;.:\"')}\]>])\r?\n|\n\n|\x00(?=\x00)")
 
 
 @dataclass(frozen=True)
 class Layer:
-    """A decoded text. ``start[i]`` and ``end[i]`` are the original span of character i."""
+    """A decoded text. ``start[i]`` and ``end[i]`` are the original span of character i.
+
+    Characters of compressed data all have the span of the whole; ``origin`` names the data
+    and ``place[i]`` is the character of it that character i was made from.
+    """
 
     text: str
     start: np.ndarray | None
     end: np.ndarray | None
     chain: tuple[bytes, ...]
     how: tuple[str, ...]
+    origin: tuple = ()
+    place: np.ndarray | None = None
 
     def span(self, a: int, b: int) -> tuple[int, int]:
         if self.start is None or self.end is None:
             return a, b
         return int(self.start[a:b].min()), int(self.end[a:b].max())
 
+    def within(self, a: int, b: int) -> tuple:
+        """What tells characters a to b from others of the same span."""
+        return () if self.place is None else (*self.origin, int(self.place[a:b].min()), int(self.place[a:b].max()))
+
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Finds of the three kinds in one layer; leftmost and non-overlapping by kind."""
@@ -84,18 +100,33 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def _substitute(layer: Layer, pieces: list[tuple[int, int, str]], how: str) -> Layer:
     """The layer with runs replaced by their decoding, each character of which stands for its whole run."""
-    text, out, starts, ends, at = layer.text, [], [], [], 0
+    text, out, starts, ends, places, at = layer.text, [], [], [], [], 0
     own_s = np.arange(len(text)) if layer.start is None else layer.start
     own_e = np.arange(1, len(text) + 1) if layer.end is None else layer.end
     for a, b, piece in pieces:
         out += [text[at:a], piece]
         starts += [own_s[at:a], np.full(len(piece), own_s[a:b].min())]
         ends += [own_e[at:a], np.full(len(piece), own_e[a:b].max())]
+        if layer.place is not None:
+            places += [layer.place[at:a], np.full(len(piece), layer.place[a:b].min())]
         at = b
     out.append(text[at:])
     starts.append(own_s[at:])
     ends.append(own_e[at:])
-    return Layer("".join(out), np.concatenate(starts), np.concatenate(ends), layer.chain, (*layer.how, how))
+    place = None if layer.place is None else np.concatenate([*places, layer.place[at:]])
+    return Layer("".join(out), np.concatenate(starts), np.concatenate(ends), layer.chain, (*layer.how, how), layer.origin, place)
+
+
+_ESCAPED = {0xDC00 + b: chr(b) for b in range(0x80, 0x100)}
+
+
+def _lenient(raw: bytes) -> tuple[str, list[int]]:
+    """Bytes as UTF-8, others as Latin-1, and how many bytes each character has."""
+    text = raw.decode("utf-8", "surrogateescape")
+    if text.isascii():
+        return text, [1] * len(text)
+    width = [1 if c < "\x80" or "\udc80" <= c <= "\udcff" else len(c.encode("utf-8")) for c in text]
+    return text.translate(_ESCAPED), width
 
 
 def _percent(layer: Layer) -> Iterator[Layer]:
@@ -107,15 +138,10 @@ def _percent(layer: Layer) -> Iterator[Layer]:
     if "%" in layer.text:
         for m in _PERCENT.finditer(layer.text):
             raw = bytes.fromhex(m[0].replace("%", ""))
-            try:
-                decoded = raw.decode("utf-8")
-            except UnicodeDecodeError:
-                continue
             at = m.start()
-            for c in decoded:  # each character with its own escapes
-                width = 3 * len(c.encode("utf-8"))
-                pieces.append((at, at + width, c))
-                at += width
+            for c, n in zip(*_lenient(raw), strict=True):  # each character with its own escapes
+                pieces.append((at, at + 3 * n, c))
+                at += 3 * n
     if pieces:
         yield _substitute(layer, pieces, "url")
 
@@ -147,81 +173,218 @@ def _unicode(layer: Layer) -> Iterator[Layer]:
         yield _substitute(layer, pieces, "unicode")
 
 
-def _unpack(raw: bytes) -> tuple[str, bytes] | None:
-    """What compressed data holds, within the bound on its expansion; None if it isn't compressed."""
-    most = max(EXPANSION_LEAST, EXPANSION * len(raw))
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            return "gzip", zlib.decompressobj(31).decompress(raw, most)
-        if raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0:
-            return "zlib", zlib.decompressobj().decompress(raw, most)
-        if raw[:3] == b"BZh":
-            return "bzip2", bz2.BZ2Decompressor().decompress(raw, most)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return "xz", lzma.LZMADecompressor(memlimit=1 << 27).decompress(raw, most)
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            return "zstd", zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj().decompress(raw)[:most]
-    except (zlib.error, gzip.BadGzipFile, OSError, EOFError, lzma.LZMAError, ValueError):
-        return None
-    except Exception as e:  # the zstandard module's own error has no public base class
-        if type(e).__name__ != "ZstdError":
-            raise
-        return None
+def _packing(head: bytes) -> tuple[str, Callable] | None:
+    """The name of a compression and a maker of its decompressor."""
+    if head[:2] == b"\x1f\x8b":
+        return "gzip", lambda: zlib.decompressobj(31)
+    if head[:1] == b"\x78" and len(head) > 2 and (head[0] << 8 | head[1]) % 31 == 0 and not head[1] & 0x20:
+        return "zlib", zlib.decompressobj
+    if head[:3] == b"BZh":
+        return "bzip2", bz2.BZ2Decompressor
+    if head[:6] == b"\xfd7zXZ\x00":
+        return "xz", lambda: lzma.LZMADecompressor(memlimit=1 << 27)
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
+
+        return "zstd", lambda: zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj()
     return None
 
 
-def _base64(layer: Layer) -> Iterator[Layer]:
-    for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        how, packed = ["base64"], False
-        while (got := _unpack(raw)) is not None and len(how) < 64:
-            how.append(got[0])
-            raw, packed = got[1], True
+def _member(name: str, d, source: Iterator[bytes], rest: list[bytes]) -> Iterator[bytes]:
+    """One member in bounded pieces; ``rest`` takes what of the input comes after it."""
+    if name == "zstd":  # its output can't be bounded, but a few bytes hold few blocks of 128 KiB
+        for given in source:
+            view = memoryview(given)
+            for k in range(0, len(view), 64):
+                yield d.decompress(view[k : k + 64])
+                if d.eof:
+                    rest += [d.unused_data, bytes(view[k + 64 :])]
+                    return
+        return
+    zlike = name in ("gzip", "zlib")
+    for given in source:
+        while True:
+            made = d.decompress(given, PIECE)
+            given = d.unconsumed_tail if zlike else b""
+            yield made
+            if d.eof:
+                rest.append(d.unused_data)
+                return
+            if len(made) < PIECE and not given and (zlike or d.needs_input):
+                break
+
+
+def _unpack(source: Iterator[bytes], failed: list, trailing: bool) -> Iterator[bytes]:
+    """All members of compressed data, and, if ``trailing``, other bytes after them; ends where the data is broken."""
+    head = b""
+    while True:
+        for more in source:
+            head += more
+            if len(head) >= 6:
+                break
+        if not head:
+            return
+        packing = _packing(head)
+        if packing is None:
+            if trailing:
+                yield head
+                yield from source
+            return
+        rest: list[bytes] = []
         try:
-            text = raw.decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-        if not text or not packed and sum(c.isprintable() or c in "\t\r\n" for c in text) < 0.95 * len(text):
+            yield from _member(packing[0], packing[1](), joined([head], source), rest)
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError) as e:
+            failed.append(e)
+            return
+        except Exception as e:  # the zstandard module's own error has no public base class
+            if type(e).__name__ != "ZstdError":
+                raise
+            failed.append(e)
+            return
+        head = b"".join(rest)
+
+
+def _head(source: Iterator[bytes]) -> bytes:
+    head = b""
+    for more in source:
+        head += more
+        if len(head) >= 4096:
+            break
+    return head[:4096]
+
+
+def _streams(make: Callable[[], Iterator[bytes]], how: tuple[str, ...], outer: tuple[bytes, ...], trailing: bool, failed: list) -> Iterator[tuple[tuple[str, ...], Iterator[bytes]]]:
+    """What ``make`` gives, unpacked as often as it was packed; where that breaks, also the bytes that broke."""
+    head = _head(make())
+    packing = _packing(head)
+    if packing is None or head in outer:  # ``outer`` ends data that unpacks to itself
+        yield how, make()
+        return
+    broken: list = []
+    yield from _streams(lambda: _unpack(make(), broken, trailing), (*how, packing[0]), (*outer, head), trailing, failed)
+    if broken and outer:
+        yield how, make()
+    failed += broken
+
+
+def _windows(source: Iterator[bytes]) -> Iterator[bytes]:
+    """The bytes of a stream, parted where nothing crosses."""
+    held, most = bytearray(), PIECE
+    for piece in source:
+        held += piece
+        if len(held) < most:
             continue
-        if packed:
-            first, last = layer.span(m.start(), m.end())
-            start, end = np.full(len(text), first), np.full(len(text), last)
-        else:  # the characters of each group of four that hold a character's bytes
-            width = np.array([len(c.encode("utf-8")) for c in text])
-            stop = np.cumsum(width)
-            a = m.start() + (stop - width) * 4 // 3
-            b = m.start() + -(-stop * 4 // 3)
-            own_s = layer.start if layer.start is not None else np.arange(len(layer.text))
-            own_e = layer.end if layer.end is not None else np.arange(1, len(layer.text) + 1)
-            start, end = own_s[a], own_e[b - 1]
-        yield Layer(text, start, end, layer.chain, (*layer.how, *how))
+        cut, end = 0, len(held)
+        for start in (max(0, len(held) - (PIECE >> 4)), 0):
+            while not cut and end > start:
+                last = None
+                for last in _PARTS.finditer(held, start, end):
+                    pass
+                if last is None:
+                    break
+                line = held.rfind(b"\n", 0, last.start()) + 1
+                if b"\\x" in held[line : last.end()]:
+                    end = line
+                else:
+                    cut = last.end()
+        if cut:
+            yield bytes(held[:cut])
+            del held[:cut]
+        most = max(PIECE, 2 * len(held))
+    if held:
+        yield bytes(held)
+
+
+def _packed_layers(layer: Layer, raw: bytes, a: int, b: int, how: tuple[str, ...], trailing: bool, failed: list) -> Iterator[Layer]:
+    """What compressed data that stands in ``layer`` from a to b holds, window by window."""
+    first, last = layer.span(a, b)
+    inside = (*layer.within(a, b), first, last, hashlib.blake2b(raw, digest_size=16).digest())
+    for ways, source in _streams(lambda: iter([raw]), how, (), trailing, failed):
+        at = 0
+        for window in _windows(source):
+            text, _ = _lenient(window)
+            yield Layer(text, np.full(len(text), first), np.full(len(text), last), layer.chain, (*layer.how, *ways), (*inside, ways), np.arange(at, at + len(text)))
+            at += len(text)
+
+
+def _base64(layer: Layer) -> Iterator[tuple[bool, Iterator[Layer]]]:
+    runs = [(m.start(), m.end(), m[0], None) for m in _BASE64.finditer(layer.text)]
+    for first, last, run, places in runs:
+        run = run.rstrip("=").replace("-", "+").replace("_", "/")
+        if len(run) % 4 == 1:
+            run = run[:-1]
+        raw = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
+        plain = _plain_base64(layer, raw, first, places)
+        if _packing(raw) is None:
+            yield False, plain
+        else:
+            yield True, _packed_or_plain(layer, raw, first, last, plain)
+
+
+def _packed_or_plain(layer: Layer, raw: bytes, first: int, last: int, plain: Iterator[Layer]) -> Iterator[Layer]:
+    """What the data holds, and its bytes as they are where it doesn't unpack whole."""
+    failed: list = []
+    yield from _packed_layers(layer, raw, first, last, ("base64",), True, failed)
+    if failed:
+        yield from plain
+
+
+def _plain_base64(layer: Layer, raw: bytes, first: int, places: np.ndarray | None) -> Iterator[Layer]:
+    # the characters of each group of four that hold a character's bytes
+    text, widths = _lenient(raw)
+    width = np.array(widths)
+    stop = np.cumsum(width)
+    a, b = (stop - width) * 4 // 3, -(-stop * 4 // 3) - 1
+    a, b = (first + a, first + b) if places is None else (places[a], places[b])
+    own_s = layer.start if layer.start is not None else np.arange(len(layer.text))
+    own_e = layer.end if layer.end is not None else np.arange(1, len(layer.text) + 1)
+    place = None if layer.place is None else layer.place[a]
+    yield Layer(text, own_s[a], own_e[b], layer.chain, (*layer.how, "base64"), layer.origin, place)
+
+
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def layers(text: str) -> Iterator[Layer]:
     """The text and all that can be decoded from it, layer by layer."""
-    work = deque([Layer(text, None, None, (), ())])
-    met: set[tuple[bytes, int, int]] = set()
-    while work:
+    yield from _layers(Layer(text, None, None, (), ()), set())
+
+
+def _layers(top: Layer, met: set[tuple]) -> Iterator[Layer]:
+    work, packed = deque([top]), deque()
+    while work or packed:
+        if not work:  # windows one by one, each with all that comes from it
+            chain, made = packed.popleft()
+            for window in made:
+                if (own := _unmet(window, chain, met)) is not None:
+                    yield from _layers(own, met)
+            continue
         layer = work.popleft()
         yield layer
-        digest = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest() if layer.how or "%" in layer.text or "\\" in layer.text else b""
-        chain = (*layer.chain, digest)
-        for decode in (_percent, _unicode, _base64):
-            for made in decode(layer):
-                own = hashlib.blake2b(made.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                key = (own, *made.span(0, len(made.text)))
-                if own in chain or key in met:
-                    continue  # a cycle, or the same text from the same place by another way
-                met.add(key)
-                work.append(Layer(made.text, made.start, made.end, chain, made.how))
+        chain = (*layer.chain, _digest(layer.text) if layer.how or "%" in layer.text or "\\" in layer.text else b"")
+        for made in joined(_percent(layer), _unicode(layer)):
+            if (own := _unmet(made, chain, met)) is not None:
+                work.append(own)
+        for late, some in _base64(layer):
+            if late:
+                packed.append((chain, some))
+                continue
+            for made in some:
+                if (own := _unmet(made, chain, met)) is not None:
+                    work.append(own)
+
+
+def _unmet(made: Layer, chain: tuple[bytes, ...], met: set[tuple]) -> Layer | None:
+    """The layer with its chain; None for a cycle, or the same text from the same place by another way."""
+    if not made.text:
+        return None
+    own = _digest(made.text)
+    key = (own, *made.span(0, len(made.text)), made.within(0, len(made.text)))
+    if own in chain or key in met:
+        return None
+    met.add(key)
+    return replace(made, chain=chain)
 
 
 def scan(text: str) -> list[tuple[str, int, int, str, str]]:
