@@ -394,9 +394,10 @@ def scan(text: str) -> list[tuple[str, int, int, str, str]]:
         for kind, a, b in base_spans(layer.text):
             start, end = layer.span(a, b)
             value = layer.text[a:b]
-            if layer.how and (kind, start, end) in seen:
+            key = (kind, start, end, value, layer.within(a, b))
+            if layer.how and key in seen:
                 continue
-            seen.add((kind, start, end))
+            seen.add(key)
             out.append((kind, start, end, "+".join(layer.how), value))
     return sorted(out, key=lambda f: (f[1], KINDS.index(f[0]), f[2], f[3]))
 
@@ -409,7 +410,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Spans are code points of the whole text, end exclusive, in order of start, then kind.
     ``decoded_by`` is empty for finds in the text itself and else names the decodings; a
-    find in a decoded layer that has the kind and span of an earlier one is that one. Null
+    find in a decoded layer that has the kind, span and value of an earlier one is that one,
+    but finds at different places of compressed data, which share its span, all count. Null
     texts count as empty; rows that repeat come out as often as they came in; null ids pass
     through; other columns are ignored. A run that doesn't decode is left as it is.
     """

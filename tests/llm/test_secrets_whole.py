@@ -28,3 +28,20 @@ def values(text, kind="assign"):
 def test_layers_are_read_to_their_end(how):
     for raw in (b" " * 3_000_000 + b"token=abcdefgh1234", b"lorem ipsum dolor. " * 200_000 + "é token=abcdefgh1234 é".encode()):
         assert values("x " + b64(PACKERS[how](raw)) + " y") == ["token=abcdefgh1234"]
+
+
+def test_windows_part_no_find():
+    rng = random.Random(3)
+    words = [f"token=v{i:06d}xyz" for i in range(90_000)]
+    text = "".join(w + rng.choice([" ", ", ", "\n", " and ", ".\n"]) for w in words)
+    assert len(text) > 1_200_000
+    assert [v.rstrip(".") for v in values(b64(gzip.compress(text.encode())))] == words
+
+
+@pytest.mark.parametrize("how", PACKERS)
+def test_every_secret_of_a_compressed_layer(how):
+    config = "".join(f'password = "value{i:03d}" # 100%25\n' for i in range(20)) + "password = \"value003\"\n"
+    want = [f'password = "value{i:03d}' for i in range(20)] + ['password = "value003']
+    assert sorted(values("cfg: " + b64(PACKERS[how](config.encode())) + " end")) == sorted(want)
+    nested = "inner " + b64(PACKERS[how](config.encode())) + " token=outer12345"
+    assert len(values(b64(gzip.compress(nested.encode())))) == 22
