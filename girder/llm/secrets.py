@@ -25,6 +25,7 @@ from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from itertools import chain as joined
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pandas as pd
@@ -52,6 +53,16 @@ _DEEP_ESCAPE = re.compile(r"\\(u005[cC]|x5[cC])\1{7,}")
 #: Fewest characters of a run that is tried as base64.
 BASE64_LEAST = 16
 _BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{{BASE64_LEAST},}}={{0,2}}")
+#: Line breaks, also written as escapes, that wrapped base64 goes on across.
+_BREAK = r"[ \t]*(?:\r\n|\n|\r|\\r\\n|\\n)[ \t]*"
+_WRAPPED = re.compile(rf"[A-Za-z0-9+/_-]{{{BASE64_LEAST},}}(?:{_BREAK}[A-Za-z0-9+/_-]+(?![A-Za-z0-9+/_-])(?=={{0,2}}(?:[ \t]*(?:[\r\n]|\Z)|[\"'`<>),;\]}}\\])))+={{0,2}}")
+_BREAKS = re.compile(_BREAK)
+#: Text that may stand for bytes with escapes among them.
+_PERCENT_BYTES = re.compile(r"[!-~]+")
+_X_BYTES = re.compile(r"(?:\\x[0-9A-Fa-f]{2}|\\[abfnrtv0\\'\"]|[ -\[\]-~])+")
+_X_BYTE = re.compile(r"\\x([0-9A-Fa-f]{2})|\\(.)", re.DOTALL)
+_X_NAMED = {"a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v", "0": "\0"}
+_PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 #: Bytes unpacked at a time.
 PIECE = 1 << 20
 #: Where neither a find nor anything to decode goes on, but for runs of \x escapes in a line.
@@ -307,8 +318,42 @@ def _packed_layers(layer: Layer, raw: bytes, a: int, b: int, how: tuple[str, ...
             at += len(text)
 
 
+def _packed_escapes(layer: Layer) -> Iterator[Layer]:
+    """Compressed data written with percent or ``\\x`` escapes, other bytes as they are."""
+    found = []
+    if "%" in layer.text:
+        for m in _PERCENT_BYTES.finditer(layer.text):
+            if _PERCENT.search(m[0]):
+                found.append((m, unquote_to_bytes(m[0]), "url"))
+    if "\\x" in layer.text:
+        for m in _X_BYTES.finditer(layer.text):
+            if "\\x" in m[0]:
+                raw = _X_BYTE.sub(lambda e: chr(int(e[1], 16)) if e[1] else _X_NAMED.get(e[2], e[2]), m[0])
+                found.append((m, raw.encode("latin-1"), "unicode"))
+    for m, raw, how in found:
+        for start in _PACKED.finditer(raw):
+            yield from _packed_layers(layer, raw[start.start() :], m.start(), m.end(), (how,), False, [])
+
+
+def _packed_text(layer: Layer) -> Iterator[Layer]:
+    """Compressed data as the characters of a decoded layer."""
+    if layer.how and layer.text[:1] in ("\x1f", "x", "B", "\xfd", "("):
+        try:
+            raw = layer.text.encode("latin-1")
+        except UnicodeEncodeError:
+            return
+        if _PACKED.match(raw):
+            yield from _packed_layers(layer, raw, 0, len(layer.text), (), True, [])
+
+
 def _base64(layer: Layer) -> Iterator[tuple[bool, Iterator[Layer]]]:
     runs = [(m.start(), m.end(), m[0], None) for m in _BASE64.finditer(layer.text)]
+    if runs and ("\n" in layer.text or "\r" in layer.text or "\\" in layer.text):
+        for m in _WRAPPED.finditer(layer.text):
+            kept = np.ones(m.end() - m.start(), bool)
+            for gap in _BREAKS.finditer(m[0]):
+                kept[gap.start() : gap.end()] = False
+            runs.append((m.start(), m.end(), _BREAKS.sub("", m[0]), np.flatnonzero(kept) + m.start()))
     for first, last, run, places in runs:
         run = run.rstrip("=").replace("-", "+").replace("_", "/")
         if len(run) % 4 == 1:
@@ -363,6 +408,7 @@ def _layers(top: Layer, met: set[tuple]) -> Iterator[Layer]:
         layer = work.popleft()
         yield layer
         chain = (*layer.chain, _digest(layer.text) if layer.how or "%" in layer.text or "\\" in layer.text else b"")
+        packed += [(chain, _packed_escapes(layer)), (chain, _packed_text(layer))]
         for made in joined(_percent(layer), _unicode(layer)):
             if (own := _unmet(made, chain, met)) is not None:
                 work.append(own)
