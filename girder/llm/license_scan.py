@@ -1,16 +1,18 @@
 """License scans by conditional compression.
 
 A word that licences use (a cue) makes a candidate: the words around it, as far as a
-template reaches. The candidate is compressed alone and with each template as zstandard raw
-dictionary; what a template saves, as a share of its own compressed size, ranks it. The
-templates that save most are confirmed by the exact differences of wording between the
-template and the place where it fits best. Of confirmed ones that overlap the one
+template reaches. Templates of which it lacks more words than a copy may differ in can't be there;
+with each other template as zstandard raw dictionary, and alone, it is compressed, and what
+a template saves, as a share of its own compressed size, ranks it. In that order all of them
+are confirmed by the exact differences of wording between the template and the place where
+it fits best, and again before and after that place. Of confirmed ones that overlap the one
 with the most equal words stays, then that with the fewest differences.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -24,10 +26,6 @@ from girder.llm.common import text_or_empty
 
 #: Words that differ, as a share of the template's, at most.
 DIFFERENCES = 0.1
-#: Share of its own compressed size that a template has to save; short notices save few whole bytes.
-SAVED = 0.01
-#: Templates that are confirmed for a candidate, those that save most first; ties go with the last.
-WINNERS = 4
 
 # Names and texts of well-known licences (fixed values).
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
@@ -65,6 +63,8 @@ class Template:
     licence: str
     words: list[str]
     size: int
+    counts: dict[str, int]
+    most: int
     packer: zstandard.ZstdCompressor
 
 
@@ -100,7 +100,7 @@ class Scanner:
         self.templates = []
         for licence, text in self.given:
             words = _WORD.findall(text.lower())
-            self.templates.append(Template(licence, words, max(1, len(self.plain.compress(_body(words))) - empty), _packer(b" " * 8 + _body(words))))
+            self.templates.append(Template(licence, words, max(1, len(self.plain.compress(_body(words))) - empty), Counter(words), int(DIFFERENCES * len(words)), _packer(b" " * 8 + _body(words))))
         self.reaches = sorted({len(t.words) for t in self.templates})
 
     def scan(self, text: str) -> list[tuple[str, int, int, int, float, str]]:
@@ -136,27 +136,39 @@ class Scanner:
         return [(licence, spans[a][0], spans[b - 1][1], n, saved, said) for licence, a, b, n, saved, _, said in sorted(taken, key=lambda f: f[1])]
 
     def _rank(self, window: list[str], templates: list[Template]) -> list[tuple[float, Template]]:
+        held = Counter(window)
+        able = [t for t in templates if sum(max(0, n - held[w]) for w, n in t.counts.items()) <= t.most]
+        if not able:
+            return []
         body = _body(window)
         alone = len(self.plain.compress(body))
-        saved = [((alone - len(t.packer.compress(body))) / t.size, t) for t in templates]
-        floor = max(SAVED, sorted((s for s, _ in saved), reverse=True)[min(WINNERS, len(saved)) - 1])
-        return [(s, t) for s, t in saved if s >= floor]
-
-    def _confirm(self, words: list[str], lo: int, hi: int, winners: list[tuple[float, Template]]) -> Iterator[tuple]:
-        for saved, t in winners:
-            most = int(DIFFERENCES * len(t.words))
-            window = words[lo:hi]
-            blocks = [b for b in SequenceMatcher(None, t.words, window, autojunk=False).get_matching_blocks() if b.size]
-            if sum(b.size for b in blocks) < len(t.words) - most:
-                continue
-            a = max(0, blocks[0].b - blocks[0].a)
-            b = min(len(window), blocks[-1].b + blocks[-1].size + len(t.words) - blocks[-1].a - blocks[-1].size)
-            part = SequenceMatcher(None, t.words, window[a:b], autojunk=False)
-            changes = [(t.words[i:j], window[a + k : a + m]) for op, i, j, k, m in part.get_opcodes() if op != "equal"]
-            n = sum(max(len(x), len(y)) for x, y in changes)
-            if n <= most:
-                said = "; ".join(f"{' '.join(x) or '-'} > {' '.join(y) or '-'}" for x, y in changes)
-                yield t.licence, lo + a, lo + b, n, round(saved, 6), len(t.words), said
+        return sorted((((alone - len(t.packer.compress(body))) / t.size, t) for t in able), key=lambda s: -s[0])
+
+    def _confirm(self, words: list[str], lo: int, hi: int, ranked: list[tuple[float, Template]]) -> Iterator[tuple]:
+        for saved, t in ranked:
+            parts = [(lo, hi)]
+            while parts:
+                first, last = parts.pop()
+                if last - first < len(t.words) - t.most:
+                    continue
+                for f in self._place(words, first, last, saved, t):
+                    yield f
+                    parts += [(first, f[1]), (f[2], last)]
+
+    def _place(self, words: list[str], lo: int, hi: int, saved: float, t: Template) -> Iterator[tuple]:
+        most = t.most
+        window = words[lo:hi]
+        blocks = [b for b in SequenceMatcher(None, t.words, window, autojunk=False).get_matching_blocks() if b.size]
+        if sum(b.size for b in blocks) < len(t.words) - most:
+            return
+        a = max(0, blocks[0].b - blocks[0].a)
+        b = min(len(window), blocks[-1].b + blocks[-1].size + len(t.words) - blocks[-1].a - blocks[-1].size)
+        part = SequenceMatcher(None, t.words, window[a:b], autojunk=False)
+        changes = [(t.words[i:j], window[a + k : a + m]) for op, i, j, k, m in part.get_opcodes() if op != "equal"]
+        n = sum(max(len(x), len(y)) for x, y in changes)
+        if n <= most:
+            said = "; ".join(f"{' '.join(x) or '-'} > {' '.join(y) or '-'}" for x, y in changes)
+            yield t.licence, lo + a, lo + b, n, round(saved, 6), len(t.words), said
 
 
 _FOUND = "doc_id string, license string, start long, end long, differences int, saved double, wording string"
