@@ -42,10 +42,14 @@ def importable(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset (tests, local runs) a temporary folder is made and set.
+    Where it is unset and the master is local (tests, local runs) a temporary folder is made
+    and set. On a cluster that would lose rows without a word, so it is an error there.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         conf = "file://" + tempfile.mkdtemp(prefix="girder-shared-")
         spark.sparkContext.setCheckpointDir(conf)
         spark.conf.set("spark.checkpoint.dir", conf)
@@ -58,7 +62,7 @@ def hadoop_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+def materialize(df: DataFrame, label: str, codec: str = "snappy") -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends there.
 
     Lost executors cost nothing that was written. The table is removed when the JVM ends,
@@ -66,7 +70,7 @@ def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/girder-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     fs, p = hadoop_path(spark, path)
     fs.deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path), path
