@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ HEAD = 200_000
 UPDATES = ((4, 0.6), (4, 0.5), (8, 0.5))
 SMOOTHING = 2.0
 #: Probabilities are summed as multiples of this.
-UNIT = 1 / 256
+UNIT = 1 / 4096
 #: Training tokens that one task of an update takes at most, where there are more tasks than cores.
 TASK_TOKENS = 32_000_000
 BATCH = 1 << 17
@@ -248,24 +249,33 @@ class Gradient:
         for block in np.unique(touched // _BLOCK):
             rows = touched[np.searchsorted(touched, block * _BLOCK) : np.searchsorted(touched, (block + 1) * _BLOCK)]
             sums = np.stack((self.observed[:, rows], self.expected[:, rows])).astype(np.int64)
-            narrow = sums.max() < 1 << 31
-            yield pd.DataFrame({"block": [np.int32(block)], "rows": [rows.astype(np.int32).tobytes()], "narrow": [bool(narrow)], "sums": [(sums.astype(np.int32) if narrow else sums).tobytes()]})
+            yield pd.DataFrame({"block": [np.int32(block)], "rows": [_packed((rows - block * _BLOCK).astype(np.int16))], "sums": [_packed(sums)]})
 
 
-_SUMS = "block int, rows binary, narrow boolean, sums binary"
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers byte by byte, the lowest bytes of all first, which compress best."""
+    planes = np.ascontiguousarray(numbers.reshape(-1).view(np.uint8).reshape(-1, numbers.itemsize).T)
+    return zstandard.compress(planes.tobytes(), 1)
+
+
+def _unpacked(packed: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+_SUMS = "block int, rows binary, sums binary"
 
 
 def _add_frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The sum of each block's frames; a task holds those blocks that were dealt to it."""
     held: dict[int, np.ndarray] = {}
     for batch in batches:
-        for block, rows, narrow, sums in batch.itertuples(index=False):
+        for block, rows, sums in batch.itertuples(index=False):
             total = held.setdefault(block, np.zeros((2, PER_GROUP, _BLOCK), np.int64))
-            at = np.frombuffer(rows, np.int32) - block * _BLOCK
-            total[:, :, at] += np.frombuffer(sums, np.int32 if narrow else np.int64).reshape(2, PER_GROUP, -1)
+            total[:, :, _unpacked(rows, np.int16)] += _unpacked(sums, np.int64).reshape(2, PER_GROUP, -1)
     for block, total in held.items():
         at = np.flatnonzero(total[0].any(axis=0))
-        yield pd.DataFrame({"block": [np.int32(block)], "rows": [(at + block * _BLOCK).astype(np.int32).tobytes()], "narrow": [False], "sums": [total[:, :, at].tobytes()]})
+        yield pd.DataFrame({"block": [np.int32(block)], "rows": [_packed(at.astype(np.int16))], "sums": [_packed(total[:, :, at])]})
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
@@ -409,9 +419,9 @@ def update_weights(encoded: DataFrame, weights: Weights, classes: Classes, rate:
     got = made.repartition("block").mapInPandas(_add_frames, _SUMS).toArrow()  # a block for each 4096 rows of weights
     out = Weights.__new__(Weights)
     out.bits, out.w = weights.bits, weights.w.copy()
-    for rows, sums in zip(got["rows"].to_pylist(), got["sums"].to_pylist(), strict=True):
-        observed, expected = np.frombuffer(sums, np.int64).reshape(2, PER_GROUP, -1).astype(np.float64)
-        out.w[np.frombuffer(rows, np.int32)] += (rate * np.log((observed + SMOOTHING) / (expected * UNIT + SMOOTHING))).T.astype(np.float32)
+    for block, rows, sums in zip(*(got[c].to_pylist() for c in ("block", "rows", "sums")), strict=True):
+        observed, expected = _unpacked(sums, np.int64).reshape(2, PER_GROUP, -1).astype(np.float64)
+        out.w[block * _BLOCK + _unpacked(rows, np.int16).astype(np.int64)] += (rate * np.log((observed + SMOOTHING) / (expected * UNIT + SMOOTHING))).T.astype(np.float32)
     return out
 
 
@@ -448,7 +458,7 @@ def fit(vocabulary: DataFrame, encoded: DataFrame, head: list[tuple[bytes, int]]
         for kind, sign in ((by_item[ending(word)], -1), (by_item[_ENDINGS + place], 1)):
             sums[kind] += sign * n
             kinds[kind] += sign
-    bits = min(MOST_BITS, max(LEAST_BITS, n_tokens.bit_length() - 4))
+    bits = min(MOST_BITS, max(LEAST_BITS, n_tokens.bit_length() - 6))
     weights = Weights(bits, sums)
     tasks = max(2 * encoded.sparkSession.sparkContext.defaultParallelism, -(-n_tokens // TASK_TOKENS))
     first = 0
@@ -485,7 +495,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, held_remainder: int = 2,
     v, n = int(size[0]), int(size[1])
     head = frequent_tokens(vocabulary, HEAD)
     given = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "held_out", _update_of(F.col("doc_id"), F.col("text")).alias("update"), "text")
-    encoded, encoded_path = materialize(encode(given, head), "token-codes")
+    encoded, encoded_path = materialize(encode(given, head), "token-codes", codec="zstd")
     shared = spark.sparkContext.broadcast(fit(vocabulary, encoded, head, n))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
