@@ -42,7 +42,7 @@ CLASSES = GROUPS * PER_GROUP
 #: Tokens that may be classes of their own, and whose place before a token tells what class it has.
 SINGLES = 32
 FEATURES = 3
-LEAST_BITS, MOST_BITS = 12, 19
+LEAST_BITS, MOST_BITS = 16, 19
 #: Tokens whose counts are broadcast.
 HEAD = 200_000
 #: Sixteenths of the training texts, and the rate, of each update.
