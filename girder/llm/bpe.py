@@ -7,17 +7,19 @@ an arc ``v``, gives ``p`` an arc ``uv`` to where ``v`` led, and leads ``u`` from
 copy of ``q`` without its arc ``v``. What the automaton then spells is exactly what applying
 the merges in order produces, one token sequence for every string.
 
-All copies differ from the start state in the arcs that they lack and in where some arcs
-lead, so a state is held as its difference from the start. After the last gadget the state
-that a token leads to depends on that token alone, and a state lacks the arc ``v`` after
-``u`` exactly where a merge consumed that pair. The compiled form therefore is one table
-row per token: the tokens that may not follow it. :meth:`Automaton.allowed` finds an entry
-by walking the merges of the two tokens, and the table keeps each entry that was asked for.
-
-A pre-split word is encoded left to right. Every prefix of the word has one path through the
-automaton at most, and its state is the last token; the path that goes on to the word's
-end is found by taking the longest arc that the state allows and stepping back from places
-that lead nowhere. Decoding emits the labels of the arcs taken.
+All arcs of one token lead to one state, so a gadget makes one copy at most, and a state
+is known by the arcs that it lost: losing ``v`` by gadget ``k``, it also never gets an arc
+for a token that a gadget from ``k`` on makes of ``v`` and something after it. Arcs are
+numbered so that those which are lost together lie side by side: a token, then the tokens
+made of it with something after it, the latest first. After the last gadget each state is
+a list of runs of arc numbers that it lacks, equal states become one, and the runs of all
+states lie in one sorted table, in which one search tells whether a state has an arc.
+
+Words are encoded together, by table lookups alone: from each place of a word, in order,
+a trie reads the characters on, and every token that it spells and that the place's state
+has an arc for leads to a state at the place where the token ends. Each place is reached by
+one path at most. Nothing is tried twice or taken back; the arcs on the path to the word's
+end are its tokens. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ import hashlib
 import json
 import re
 import struct
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +39,8 @@ from pyspark.sql import functions as F
 from girder.llm.common import text_or_empty
 
 CACHE_WORDS = 250_000
+#: Words that are encoded together at most.
+WORDS_AT_ONCE = 50_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -54,22 +60,33 @@ _LATIN_PIECES = re.compile(rf"[{_LATIN}]+|{_SHORT}|[{_DIGITS}]|(?!{_SHORT}){_OTH
 _LATIN_ONLY = re.compile("[\x00-\xff]*")
 
 
+# The rules that the pieces above state (fixed values).
+_KNOWN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_KNOWN_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
 class Splitter:
     """Pre-splits a text into the words that are encoded one by one.
 
-    Latin-1 text is its own NFC and takes a quick path; other text is normalised and split
-    by the rules of the tokenizer file, which name Unicode classes.
+    Text is normalised and split by the rules of the tokenizer file. Where those are the
+    rules that :data:`_LATIN_PIECES` states, Latin-1 text, which is its own NFC, takes a
+    quick path.
     """
 
     def __init__(self, spec: str) -> None:
         self.spec = spec
+        parts = json.loads(spec)
+        steps = (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if [p["type"] for p in steps] != ["Split", "ByteLevel"] or steps[1]["use_regex"] or steps[1]["add_prefix_space"]:
+            raise ValueError("only files that split by one pattern, then map bytes, can be compiled")
+        self.quick = parts["normalizer"] == _KNOWN_NORMALIZER and steps[0] == _KNOWN_SPLIT
         self._rules = None
 
     def __getstate__(self) -> dict:
-        return {"spec": self.spec, "_rules": None}
+        return self.__dict__ | {"_rules": None}
 
     def __call__(self, text: str) -> list[str]:
-        if _LATIN_ONLY.fullmatch(text):
+        if self.quick and _LATIN_ONLY.fullmatch(text):
             return _LATIN_PIECES.findall(text.lower())
         if self._rules is None:
             self._rules = _file_rules(self.spec)
@@ -86,142 +103,232 @@ def _file_rules(spec: str):
     blank["normalizer"] = parts["normalizer"]
     blank["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [p for p in parts["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]}
     made = Tokenizer.from_str(json.dumps(blank))
-    return made.normalizer.normalize_str, made.pre_tokenizer.pre_tokenize_str
+    normalizer = made.normalizer
+    return (normalizer.normalize_str if normalizer else str), made.pre_tokenizer.pre_tokenize_str
+
+
+class Gadgets:
+    """The automaton while it is built: the arcs that the state after each token lost, and by which gadget."""
+
+    def __init__(self, bases: list[int]) -> None:
+        self.made = dict.fromkeys(bases, 0)
+        self.left: dict[int, int] = {}
+        self.kids: dict[int, list[int]] = {}
+        self.lost: dict[int, dict[int, int]] = {}
+
+    def has(self, u: int, v: int) -> bool:
+        """Does the state after ``u`` have an arc ``v`` by now?"""
+        lost = self.lost.get(u)
+        if not lost:
+            return True
+        born = 1 << 60
+        while v is not None:
+            if lost.get(v, born + 1) <= born:
+                return False
+            born, v = self.made[v], self.left.get(v)
+        return True
+
+    def add(self, k: int, u: int, v: int, uv: int) -> bool:
+        """Gadget ``k``, of the merge ``(u, v) -> uv``; False if no state has the arcs one after the other."""
+        if u not in self.made or v not in self.made or not self.has(u, v):
+            return False
+        self.lost[uv] = dict(self.lost.get(v, ()))  # where v led before this gadget
+        self.lost.setdefault(u, {})[v] = k
+        self.made[uv], self.left[uv] = k, u
+        self.kids.setdefault(u, []).append(uv)
+        return True
+
+    def numbers(self) -> tuple[dict[int, int], dict[int, int]]:
+        """The number of each token's arc, and the number after those of all tokens that begin with it."""
+        number: dict[int, int] = {}
+        after: dict[int, int] = {}
+        for base in sorted(t for t, k in self.made.items() if k == 0):
+            stack = [(base, False)]
+            while stack:
+                t, done = stack.pop()
+                if done:
+                    after[t] = len(number)
+                    continue
+                number[t] = len(number)
+                stack.append((t, True))
+                stack += [(c, False) for c in self.kids.get(t, ())]  # the latest is taken first
+        return number, after
+
+    def runs(self, token: int, number: dict[int, int], after: dict[int, int]) -> tuple[int, ...]:
+        """Where the runs of arcs that the state after ``token`` lacks start and end, in order."""
+        found = []
+        for v, k in self.lost.get(token, {}).items():
+            kids = self.kids.get(v, ())  # in the order of their gadgets
+            early = bisect_left(kids, k, key=self.made.__getitem__)
+            found.append((number[v], number[kids[early - 1]] if early else after[v]))
+        out: list[int] = []
+        for a, b in sorted(found):
+            if out and a <= out[-1]:
+                out[-1] = max(out[-1], b)
+            else:
+                out += [a, b]
+        return tuple(out)
 
 
 class Automaton:
     """The compiled tokenizer.
 
     ``vocab`` maps token to id, ``merges`` lists pairs in order, ``specials`` maps the
-    literal strings that stand for single ids, ``split`` pre-splits a text. Tokens that end a word carry ``end``.
+    literal strings that stand for single ids, ``split`` pre-splits a text. Tokens that end a
+    word carry ``end``. All tables are numpy arrays.
     """
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], specials: dict[str, int], split: Callable[[str], list[str]], end: str = "</w>") -> None:
-        self.end, self.specials, self.split = end, specials, split
+        self.specials, self.split = specials, split
         self.labels = {i: t for t, i in vocab.items()} | {i: t for t, i in specials.items()}
-        self.symbols = [chr(b) for b in range(256)]
-        for b, c in byte_symbols().items():
-            self.symbols[b] = c
-        self._translate = {b: c for b, c in enumerate(self.symbols)}
-        # Of the merge that makes a token: its place, left and right part; base symbols have place 0.
-        self.made: dict[int, int] = {}
-        self.parts: dict[int, tuple[int, int]] = {}
-        self.place: dict[tuple[int, int], int] = {}
-        self.middle: dict[str, int] = {}
-        self.final: dict[str, int] = {}
-        self._table: dict[int, bool] = {}
-        bases = set(self.symbols) | {c + end for c in self.symbols}
-        for t in bases:
-            if t in vocab:
-                self.made[vocab[t]] = 0
-                self._name(t, vocab[t])
-        for place, (left, right) in enumerate(merges, 1):
-            self._gadget(place, vocab[left], vocab[right], left + right, vocab)
-        self.longest = max(map(len, [*self.middle, *self.final]), default=0)
+        byte_of = {c: b for b, c in byte_symbols().items()}
+        gadgets = Gadgets([vocab[t] for c in byte_of for t in (c, c + end) if t in vocab])
+        for k, (left, right) in enumerate(merges, 1):
+            if vocab[left + right] in gadgets.made:
+                raise ValueError(f"two merges make {left + right!r}")
+            gadgets.add(k, vocab[left], vocab[right], vocab[left + right])
+        number, after = gadgets.numbers()
+        size = max(self.labels, default=0) + 1
+        #: Of each token: its arc's number, the state that it leads to, its length in bytes.
+        self.number, self.target, self.length = (np.zeros(size, np.int32) for _ in range(3))
+        states: dict[tuple[int, ...], int] = {(): 0}
+        edges: list[np.ndarray] = []
+        trie = _Trie()
+        for t, n in sorted(number.items()):
+            label = self.labels[t]
+            final = label.endswith(end)
+            spelt = [byte_of[c] for c in (label.removesuffix(end) if final else label)]
+            trie.add(spelt, t, final)
+            self.number[t], self.length[t] = n, len(spelt)
+            if not final:
+                lacks = gadgets.runs(t, number, after)
+                if lacks not in states:
+                    states[lacks] = len(states)
+                    edges.append(np.array(lacks, np.int64) + (states[lacks] << 32))
+                self.target[t] = states[lacks]
+        self.n_states = len(states)
+        #: Starts and ends of the runs of missing arcs: ``state << 32 | arc number``, ascending.
+        self.edges = np.concatenate(edges) if edges else np.zeros(0, np.int64)
+        self.trie_key, self.trie_child, self.ends = trie.tables()
         self._words: dict[str, bytes] = {}
 
-    def _name(self, token: str, i: int) -> None:
-        if token.endswith(self.end):
-            self.final[token.removesuffix(self.end)] = i
-        else:
-            self.middle[token] = i
-
-    def _gadget(self, place: int, u: int, v: int, token: str, vocab: dict[str, int]) -> None:
-        """Add the gadget of one merge: a new arc where arcs ``u`` and ``v`` follow each other."""
-        uv = vocab[token]
-        if uv in self.made:
-            raise ValueError(f"two merges make {token!r}")
-        if u in self.made and v in self.made and self._has(u, v, place - 1):
-            self.made[uv], self.parts[uv], self.place[u, v] = place, (u, v), place
-            self._name(token, uv)
-        # else no state has the arcs one after the other: the merge never applies
-
-    def _has(self, u: int, v: int, upto: int) -> bool:
-        """Does the state after ``u`` have an arc ``v``, once ``upto`` gadgets are in?"""
-        while True:
-            if self.place.get((u, v), upto + 1) <= upto:
-                return False  # that gadget took the arc away
-            made_u, made_v = self.made[u], self.made[v]
-            if made_u == made_v == 0:
-                return True
-            if made_u > made_v:  # the state was then copied from that after u's right part
-                u, upto = self.parts[u][1], made_u - 1
-            elif u == v:  # both at once: the copy has the new arc where it has the first part's
-                u, v, upto = self.parts[u][1], self.parts[u][0], made_u - 1
-            else:  # the arc was then added where the state had an arc of v's left part
-                v, upto = self.parts[v][0], made_v
-
-    def allowed(self, u: int, v: int) -> bool:
-        """The table: may token ``v`` follow token ``u``?"""
-        key = u << 32 | v
-        found = self._table.get(key)
-        if found is None:
-            if len(self._table) > 2_000_000:
-                self._table.clear()
-            found = self._table[key] = self._has(u, v, 1 << 60)
-        return found
-
-    def encode_word(self, word: str) -> list[int]:
-        """Ids of one pre-split word, which is one run without white space."""
-        symbols = word.encode().decode("latin-1").translate(self._translate)
-        n = len(symbols)
-        whole = self.final.get(symbols)
-        if whole is not None:
-            return [whole]
-        # Every prefix of the word has one tokenization at most, so a place from which no
-        # path leads to the end is never tried again: the walk is linear in the word.
-        path: list[int] = []
-        starts: list[int] = []
-        dead: set[int] = set()
-        middle, final, allowed, longest = self.middle, self.final, self.allowed, self.longest
-        at, state = 0, -1
-        while at < n:
-            for j in range(min(n, at + longest), at, -1):
-                t = (middle if j < n else final).get(symbols[at:j])
-                if t is None or j in dead:
-                    continue
-                if state < 0 or allowed(state, t):
-                    path.append(t)
-                    starts.append(at)
-                    at, state = j, t
-                    break
-            else:
-                if not path:
-                    raise ValueError(f"the vocabulary can't spell {word!r}")
-                dead.add(at)
-                path.pop()
-                at, state = starts.pop(), path[-1] if path else -1
-        return path
-
-    def _packed(self, word: str) -> bytes:
-        ids = self.encode_word(word)
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(word) <= 64:
-            if len(self._words) >= CACHE_WORDS:
-                self._words.clear()
-            self._words[word] = packed
-        return packed
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_words": {}}
+
+    def has_arcs(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """For each pair, does the state have an arc for the token?"""
+        key = states.astype(np.int64) << 32 | self.number[tokens]
+        return np.searchsorted(self.edges, key, "right") & 1 == 0
+
+    def encode_words(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each pre-split word, which is one run without white space and not empty."""
+        if not words:
+            return []
+        raw = [w.encode() for w in words]
+        sizes = np.array([len(r) for r in raw])
+        stops = np.cumsum(sizes)
+        text = np.frombuffer(b"".join(raw), np.uint8)
+        # one place before each character of each word, and one after its last
+        arrived = np.full(len(text) + len(words), -1, np.int32)
+        base = stops - sizes + np.arange(len(words))
+        shift = np.arange(len(words))
+        long_first = np.argsort(-sizes, kind="stable")
+        ordered = -sizes[long_first]
+        state = np.zeros(len(arrived), np.int32)
+        for i in range(int(sizes.max())):
+            live = long_first[: np.searchsorted(ordered, -i, "left")]
+            if i:
+                live = live[arrived[base[live] + i] >= 0]
+            node = np.zeros(len(live), np.int32)
+            j = i
+            while len(live):
+                key = node << 8 | text[base[live] - shift[live] + j]
+                at = np.searchsorted(self.trie_key, key)
+                at[at == len(self.trie_key)] = 0
+                on = self.trie_key[at] == key
+                live, node = live[on], self.trie_child[at[on]]
+                j += 1
+                last = sizes[live] == j
+                token = self.ends[last.astype(np.int8), node]
+                spelt = np.flatnonzero(token >= 0)
+                if len(spelt):
+                    who, token = live[spelt], token[spelt]
+                    good = self.has_arcs(state[base[who] + i], token)
+                    place = base[who[good]] + j
+                    arrived[place], state[place] = token[good], self.target[token[good]]
+                live, node = live[~last], node[~last]
+        # the places on the path to each word's end
+        marked = np.zeros(len(arrived), bool)
+        place, first = base + sizes, base
+        while len(place):
+            token = arrived[place]
+            if (token < 0).any():
+                raise ValueError(f"the vocabulary can't spell {words[int(np.searchsorted(base, place[token < 0][0], 'right')) - 1]!r}")
+            marked[place] = True
+            place = place - self.length[token]
+            on = place > first
+            place, first = place[on], first[on]
+        ids = arrived[marked].astype("<u4")
+        cuts = np.concatenate(([0], np.cumsum(marked)))[np.concatenate((base, [len(arrived)]))]
+        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts, as little-endian unsigned 32-bit integers; words new to the cache are encoded together."""
+        if len(self._words) >= CACHE_WORDS:
+            self._words.clear()
+        known, special = self._words, re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
+        pieces = []
+        for text in texts:
+            own: list[str] = []
+            for k, part in enumerate(special.split(text) if special else [text]):
+                own += [part] if k % 2 else self.split(part)
+            pieces.append(own)
+        fresh = [w for w in dict.fromkeys(w for own in pieces for w in own if w not in known) if w not in self.specials]
+        fresh.sort(key=len)
+        for k in range(0, len(fresh), WORDS_AT_ONCE):
+            some = fresh[k : k + WORDS_AT_ONCE]
+            known.update(zip(some, (ids.tobytes() for ids in self.encode_words(some)), strict=True))
+        known.update((s, struct.pack("<I", i)) for s, i in self.specials.items())
+        out = [b"".join(map(known.__getitem__, own)) for own in pieces]
+        for w in reversed(fresh):
+            if len(w) <= 64:
+                break
+            del known[w]
+        return out
 
     def encode(self, text: str) -> bytes:
-        """Ids of a whole text, as little-endian unsigned 32-bit integers."""
-        if not self.specials:
-            return self._encode_plain(text)
-        parts = re.split("(" + "|".join(map(re.escape, self.specials)) + ")", text)
-        return b"".join(struct.pack("<I", self.specials[p]) if p in self.specials else self._encode_plain(p) for p in parts)
-
-    def _encode_plain(self, text: str) -> bytes:
-        words = self._words
-        pieces = self.split(text)
-        got = list(map(words.get, pieces))
-        if None in got:
-            got = [self._packed(p) if g is None else g for p, g in zip(pieces, got, strict=True)]
-        return b"".join(got)
+        """Ids of one whole text; see :meth:`encode_many`."""
+        return self.encode_many([text])[0]
 
     def decode(self, packed: bytes) -> str:
         """The labels of the arcs, joined by a space as the tokenizer file's own decoder does."""
         return " ".join(map(self.labels.__getitem__, memoryview(packed).cast("I").tolist()))
 
 
+class _Trie:
+    """Tokens by their bytes; a node has the token that ends there within a word, and the one that ends a word there."""
+
+    def __init__(self) -> None:
+        self.child: dict[int, int] = {}
+        self.ends: list[list[int]] = [[-1, -1]]
+
+    def add(self, spelt: list[int], token: int, final: bool) -> None:
+        node = 0
+        for b in spelt:
+            key = node << 8 | b
+            node = self.child.get(key, -1)
+            if node < 0:
+                node = self.child[key] = len(self.ends)
+                self.ends.append([-1, -1])
+        self.ends[node][final] = token
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted ``node << 8 | byte``, the child of each, and by node the two tokens."""
+        key = np.array(sorted(self.child), np.int32)
+        child = np.array([self.child[k] for k in key.tolist()], np.int32)
+        return (key, child, np.array(self.ends, np.int32).T.copy()) if len(key) else (np.zeros(1, np.int32) - 1, np.zeros(1, np.int32), np.array(self.ends, np.int32).T.copy())
+
+
 def load_automaton(path: str) -> Automaton:
     """Compile the tokenizer file at ``path``."""
     with open(path, encoding="utf-8") as f:
@@ -235,9 +342,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     """Encode and decode every text: ``doc_id, ids, decoded``.
 
     ``ids`` has little-endian unsigned 32-bit integers; ``decoded`` is the text that the ids
-    spell. Null texts count as empty and give no ids. Ids of documents pass through as they
-    are, null and repeated ones too; other columns are ignored. The automaton is broadcast:
-    its size is that of the tokenizer file, whatever the documents.
+    spell. Null texts count as empty and give no ids; texts of any length are encoded whole.
+    Ids of documents pass through as they are, null and repeated ones too; an empty table
+    gives an empty result; other columns are ignored. The automaton is broadcast: its size
+    is that of the tokenizer file, whatever the documents.
     """
     automaton = docs.sparkSession.sparkContext.broadcast(load_automaton(tokenizer_path))
 
@@ -247,7 +355,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
             # a slice at a time, for texts can be long
             for k in range(0, len(batch), 256):
                 part = batch.iloc[k : k + 256]
-                ids = [a.encode(t) for t in part["text"]]
+                ids = a.encode_many(part["text"].tolist())
                 yield pd.DataFrame({"doc_id": part["doc_id"].array, "ids": ids, "decoded": list(map(a.decode, ids))})
 
     rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), text_or_empty(text_col).alias("text"))

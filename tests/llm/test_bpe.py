@@ -5,6 +5,7 @@ import json
 import random
 import struct
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -88,7 +89,42 @@ def test_automata_of_random_merges():
         order = {m: i for i, m in enumerate(merges)}
         for _ in range(40):
             word = "".join(rng.choice("ab") for _ in range(rng.randint(1, 12)))
-            assert [a.labels[i] for i in a.encode_word(word)] == merge_in_order(word, order), (merges, word)
+            (ids,) = a.encode_words([word])
+            assert [a.labels[i] for i in ids.tolist()] == merge_in_order(word, order), (merges, word)
+
+
+def test_arcs_of_states_are_the_pairs_that_can_follow(automaton):
+    """A state's arcs, checked on pairs of tokens: they follow each other where encoding both as one word gives just them."""
+    rng = random.Random(4)
+    middle = [i for i, t in automaton.labels.items() if i < 49406 and not t.endswith("</w>")]
+    final = [i for i, t in automaton.labels.items() if i < 49406 and t.endswith("</w>")]
+    symbols = {c: b for b, c in bpe.byte_symbols().items()}
+    tried = 0
+    for _ in range(3000):
+        u, v = rng.choice(middle), rng.choice(final)
+        try:
+            word = bytes(symbols[c] for c in automaton.labels[u] + automaton.labels[v].removesuffix("</w>")).decode()
+        except UnicodeDecodeError:
+            continue
+        tried += 1
+        (ids,) = automaton.encode_words([word])
+        assert bool(automaton.has_arcs(automaton.target[[u]], np.array([v]))[0]) == (ids.tolist() == [u, v]), word
+    assert tried > 1000 and automaton.n_states > 1000
+
+
+def test_rules_come_from_the_file(tmp_path, library):
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"] = {"type": "NFC"}
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    own, theirs = bpe.load_automaton(str(path)), Tokenizer.from_file(str(path))
+    assert not own.split.quick
+    same(own, theirs, "Ab cD, it's  ÀÉ 12")
+    spec["pre_tokenizer"] = {"type": "Whitespace"}
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError, match="split by one pattern"):
+        bpe.load_automaton(str(path))
 
 
 def test_two_merges_to_one_token_are_refused():
