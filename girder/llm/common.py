@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from girder.session import materialize
+
 
 def text_or_empty(name: str = "text") -> Column:
     """The text column; null counts as empty."""
@@ -18,6 +18,20 @@ def crc_bucket(id_col: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus, F.lit(-1))
 
 
-def lean(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """Only the named columns, so that extra columns can clash with nothing made inside."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs``, written and read again with a number for each row, and the name of that column.
+
+    Filters act on rows: ids may repeat, and so may whole rows. Only a table that is written
+    has numbers which stay the same however often it is read.
+    """
+    name = "_row_number"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    table, _ = materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    return table, name
+
+
+def keep_rows(table: DataFrame, name: str, kept: DataFrame) -> DataFrame:
+    """The rows of a numbered table whose numbers are in the one column of ``kept``."""
+    kept = kept.toDF("_kept_row")
+    return table.join(kept, table[name] == kept["_kept_row"], "left_semi").drop(name)

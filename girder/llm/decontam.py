@@ -9,7 +9,8 @@ with each of two offsets. Regions that meet the bound are verified by a banded a
 the whole item, which gives the edit distance and the place.
 
 Texts and items are compared lower-cased, with every run of characters other than letters
-and digits as one space; edits are counted on that form. Places are mapped back.
+and digits as one space; edits are counted on that form, and an item lies between word
+boundaries of it, never inside words. Places are mapped back.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -202,8 +205,8 @@ class ItemIndex:
         for n, first, last in self._merged(text):
             item = self.items[n]
             lo, hi = max(0, first - item.edits), min(len(text), last + len(item.text) + item.edits + 1)
-            whole = text.find(item.text, lo, hi)  # without edits there is nothing to align
-            got = (0, whole - lo, whole - lo + len(item.text)) if whole >= 0 else banded(item.text, text[lo:hi], first - lo, last - lo, item.edits)
+            whole = _whole(text, item.text, lo, hi)  # without edits there is nothing to align
+            got = (0, whole - lo, whole - lo + len(item.text)) if whole >= 0 else banded(item.text, text[lo:hi], first - lo, last - lo, item.edits, _boundaries(text, lo, hi))
             if got is not None:
                 edits, start, end = got
                 key = (n, lo + end)
@@ -212,6 +215,26 @@ class ItemIndex:
         return _apart(list(found.values()))
 
 
+def _whole(text: str, item: str, lo: int, hi: int) -> int:
+    """Where the item stands between word boundaries, unedited; -1 if nowhere."""
+    at = text.find(item, lo, hi)
+    while at >= 0:
+        end = at + len(item)
+        if (at == 0 or text[at - 1] == " ") and (end == len(text) or text[end] == " "):
+            return at
+        at = text.find(item, at + 1, hi)
+    return -1
+
+
+def _boundaries(text: str, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the places from ``lo`` to ``hi``: may an item start there, and may one end there?"""
+    space = _codes(text[max(0, lo - 1) : hi + 1]) == 32
+    before = space if lo else np.concatenate(([True], space))
+    after = space[1:] if lo else space
+    n = hi - lo + 1
+    return before[:n], np.concatenate((after, [True]))[:n] if hi == len(text) else after[:n]
+
+
 def _apart(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Of matches of one item that overlap, the one with the fewest edits, then the first."""
     out: list[tuple[int, int, int, int]] = []
@@ -221,18 +244,21 @@ def _apart(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int,
     return sorted(out, key=lambda m: (m[1], m[2], m[0]))
 
 
-def banded(item: str, region: str, first: int, last: int, most: int) -> tuple[int, int, int] | None:
+def banded(item: str, region: str, first: int, last: int, most: int, limits: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[int, int, int] | None:
     """Edit distance, start and end of the best place of the whole ``item`` in ``region``.
 
     Only diagonals from ``first - most`` to ``last + most`` are walked; None if the distance
-    is over ``most``. A row of the table is one numpy step over the band.
+    is over ``most``. ``limits`` says of each place of the region, its end too, whether the
+    item may start and end there. A row of the table is one numpy step over the band.
     """
     a, r = _codes(item), _codes(region)
     lo, width = first - most, last - first + 2 * most + 1
     far = len(a) + len(r) + 1
     # cost[d] and origin[d]: the cell of row i on diagonal lo + d, that is column i + lo + d
     col = np.arange(width) + lo
-    cost = np.where((col >= 0) & (col <= len(r)), 0, far)
+    inside = (col >= 0) & (col <= len(r))
+    starts, ends = (np.ones(len(r) + 1, bool),) * 2 if limits is None else limits
+    cost = np.where(inside & starts[np.clip(col, 0, len(r))], 0, far)
     origin = col.copy()
     ramp = np.arange(width)
     padded = np.full(len(a) + width + len(r) + 2, 0xFFFFFFFF, np.uint32)
@@ -255,20 +281,23 @@ def banded(item: str, region: str, first: int, last: int, most: int) -> tuple[in
         cost = np.where(inside, cost, far)
         if cost.min() > most:
             return None
+    cost = np.where(inside & ends[np.clip(col, 0, len(r))], cost, far)
     d = int(np.lexsort((-origin, cost))[0])
     return (int(cost[d]), int(origin[d]), int(col[d])) if cost[d] <= most else None
 
 
-def _blocks(items: list[Item], chars: int) -> Iterator[list[Item]]:
+def _indexes(benchmark: DataFrame, item_col: str, item_text_col: str, q: int, edits: float, chars: int) -> Iterator[ItemIndex]:
+    """The items of the benchmark in blocks of ``chars`` characters, or one item, at most."""
+    asked = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).orderBy("item_id", "text")
     block, size = [], 0
-    for item in items:
-        if block and size + len(item.text) > chars:
-            yield block
+    for row in chain(((r[0], r[1]) for r in asked.toLocalIterator()), [None]):
+        if block and (row is None or size + len(row[1] or "") > chars):
+            if items := make_items(block, q, edits):
+                yield ItemIndex(items)
             block, size = [], 0
-        block.append(item)
-        size += len(item.text)
-    if block:
-        yield block
+        if row is not None:
+            block.append(row)
+            size += len(row[1] or "")
 
 
 _HIT = "doc_id string, item_id long, start long, end long, edits int, item_chars int"
@@ -299,9 +328,8 @@ def contaminated_spans(
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), text_or_empty(text_col).alias("text"))
     found = None
-    asked = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).orderBy("item_id", "text")
-    for block in _blocks(make_items(((r[0], r[1]) for r in asked.toLocalIterator()), q, edits), block_chars):
-        shared = spark.sparkContext.broadcast(ItemIndex(block))
+    for index in _indexes(benchmark, item_col, item_text_col, q, edits, block_chars):
+        shared = spark.sparkContext.broadcast(index)
 
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             index = shared.value
@@ -322,7 +350,21 @@ def contaminated_spans(
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: float = EDITS) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item; rows without an id stay."""
-    gone = contaminated_spans(docs, benchmark, id_col, text_col, edits=edits).select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone_id"], "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edits: float = EDITS, q: int = Q, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, with all their columns.
+
+    Each row goes by its own text, whatever its id: null and empty texts stay, rows that
+    repeat stay or go together. With an empty benchmark, or one of empty items, all rows
+    stay; an empty table gives an empty result.
+    """
+    for index in _indexes(benchmark, item_col, item_text_col, q, edits, block_chars):
+        docs = docs.where(_is_clean(docs.sparkSession.sparkContext.broadcast(index))(text_or_empty(text_col)))
+    return docs
+
+
+def _is_clean(shared: Broadcast[ItemIndex]):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not shared.value.matches(compared(t)) for t in texts], dtype=bool)
+
+    return clean

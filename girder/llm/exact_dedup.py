@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from girder.llm.common import text_or_empty
+from girder.llm.common import keep_rows, numbered, text_or_empty
 from girder.session import discard, materialize
 
 #: Characters that equality ignores.
@@ -34,11 +34,11 @@ _NULL_ID = "cast(18446744073709551616 as decimal(20,0))"
 _RANK = f"cast(cast(_cp as decimal(10,0)) * {_SPAN} - coalesce(cast(_id as decimal(20,0)) + {_OFFSET}, {_NULL_ID}) as decimal(38,0))"
 
 
-def _digests(docs: DataFrame, id_col: str, text_col: str, digest_bits: int) -> DataFrame:
-    text = text_or_empty(text_col)
+def _digests(docs: DataFrame, id_col: str, text_col: str, digest_bits: int, row_col: str | None) -> DataFrame:
+    text, row = text_or_empty(text_col), F.col(row_col) if row_col else F.lit(0).cast("long")
     return (
-        docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text"))
-        .select("_id", F.length("_text").alias("_cp"), F.regexp_replace("_text", BLANKS, "").alias("_norm"))
+        docs.select(F.col(id_col).cast("long").alias("_id"), row.alias("_row"), text.alias("_text"))
+        .select("_id", "_row", F.length("_text").alias("_cp"), F.regexp_replace("_text", BLANKS, "").alias("_norm"))
         .withColumn("_sha", F.sha2(F.col("_norm").cast("binary"), 256))
         .withColumn("_key", F.substring("_sha", 1, max(1, digest_bits // 4)))
     )
@@ -65,24 +65,32 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are kept together. An empty table gives an empty result; other columns are ignored.
     ``digest_bits`` under 256 only serves to test the handling of collisions.
     """
-    rows = _digests(docs, id_col, text_col, digest_bits)
-    decided = _decide(_combine(rows, salts))
-    decisions, path = materialize(decided.drop("_norm"), "exact-dedup")
-    if decisions.groupBy("_key").count().where("count > 1").isEmpty():
-        joined = rows.drop("_norm").join(decisions, "_key")
-    else:  # different texts share a digest
-        discard(docs.sparkSession, path)
-        joined = rows.join(decided, ["_key", "_norm"])
-    kept = F.when(F.col("keep_id").isNull(), F.col("_id").isNull() & (F.col("_cp") == F.col("_best_cp"))).otherwise(F.coalesce(F.col("_id") == F.col("keep_id"), F.lit(False)))
+    joined, _ = _judged(docs, id_col, text_col, salts, digest_bits)
     return joined.select(
         F.col("_id").alias("doc_id"),
         "keep_id",
         F.col("group_size").cast("long"),
-        kept.alias("kept"),
+        "kept",
         F.col("_sha").alias("text_sha256"),
     )
 
 
+def _judged(docs: DataFrame, id_col: str, text_col: str, salts: int, digest_bits: int = 256, row_col: str | None = None) -> tuple[DataFrame, list[str]]:
+    """Every row with the decision on its text, and the columns that tell texts apart."""
+    rows = _digests(docs, id_col, text_col, digest_bits, row_col)
+    decided = _decide(_combine(rows, salts))
+    decisions, path = materialize(decided.drop("_norm"), "exact-dedup")
+    if decisions.groupBy("_key").count().where("count > 1").isEmpty():
+        by = ["_key"]
+        joined = rows.drop("_norm").join(decisions, by)
+    else:  # different texts share a digest
+        discard(docs.sparkSession, path)
+        by = ["_key", "_norm"]
+        joined = rows.join(decided, by)
+    kept = F.when(F.col("keep_id").isNull(), F.col("_id").isNull() & (F.col("_cp") == F.col("_best_cp"))).otherwise(F.coalesce(F.col("_id") == F.col("keep_id"), F.lit(False)))
+    return joined.withColumn("kept", kept), by
+
+
 def _decide(best: DataFrame) -> DataFrame:
     """Reads keep_id and the code points back from the best rank of each text."""
     # The id's part of a rank lies within [0, _SPAN), so that ceil() finds the code points.
@@ -99,12 +107,13 @@ def _decide(best: DataFrame) -> DataFrame:
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; see :func:`exact_groups`.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest_bits: int = 256) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: exactly one for each text.
 
-    Rows are told apart by id and normalised text.
+    It is the one that :func:`exact_groups` names; of rows that repeat its id one stays.
+    Nulls, empty texts and empty tables are as there. Columns of any name pass through.
     """
-    groups = exact_groups(docs, id_col, text_col, salts)
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"))
-    sha = F.sha2(F.regexp_replace(F.coalesce(docs[text_col].cast("string"), F.lit("")), BLANKS, "").cast("binary"), 256)
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_gone_id"]) & (sha == gone["_gone_sha"]), "left_anti")
+    table, row = numbered(docs)
+    judged, by = _judged(table, id_col, text_col, salts, digest_bits, row)
+    best = judged.where("kept").groupBy(*by).agg(F.min(F.struct(-F.col("_cp"), "_row")).alias("_best"))
+    return keep_rows(table, row, best.select("_best._row"))

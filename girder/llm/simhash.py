@@ -14,8 +14,10 @@ Rows of one fingerprint are one vertex, so a group of copies costs what one row
 fingerprints so close together that no pivot parts them are few: there are 2,081 within two
 bits of one and 43,745 within three.
 
-Only the shape of the upper tree comes from a sample, of :data:`SAMPLE` fingerprints at
-most; it decides where rows are compared, never whether.
+Only the shape of the upper tree comes from a sample, of :data:`SAMPLE` fingerprints or
+:data:`PER_SHARD` for each shard; it decides where rows are compared, never whether. A
+shard of more than :data:`BLOCK_ROWS` rows is compared in parts, each of its residents'
+parts with each of its visitors', so that what a task holds is bounded.
 """
 
 from __future__ import annotations
@@ -28,12 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from girder.llm.common import text_or_empty
+from girder.llm.common import keep_rows, numbered, text_or_empty
 from girder.session import discard, materialize
 
 SEED = 42
 #: Fingerprints from which the upper tree is grown.
-SAMPLE = 16_384
+SAMPLE, PER_SHARD = 16_384, 32
+#: Rows of a shard that are compared in one task.
+BLOCK_ROWS = 1 << 17
 LEAF = 128
 _CHUNK = 16_384
 
@@ -54,17 +58,18 @@ def fingerprint(text: str, width: int = 3) -> int:
     return int(np.packbits(votes * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, row_col: str | None = None) -> DataFrame:
+    """``doc_id, row, fp``: the fingerprint as a signed long, and the number of the row if a column has it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = np.array([fingerprint(t, width) for t in batch["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "row": batch["row"].array, "fp": fp.view(np.int64)})
 
-    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    made = rows.mapInPandas(run, "doc_id string, fp long")
-    return made.select(F.col("doc_id").cast("long").alias("doc_id"), "fp")
+    row = F.col(row_col) if row_col else F.lit(0)
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), row.cast("long").alias("row"), text_or_empty(text_col).alias("text"))
+    made = rows.mapInPandas(run, "doc_id string, row long, fp long")
+    return made.select(F.col("doc_id").cast("long").alias("doc_id"), "row", "fp")
 
 
 def _distance(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -160,10 +165,10 @@ class Forest:
             self.up = above
 
 
-def link_shard(fp: np.ndarray, resident: np.ndarray, reach: int) -> np.ndarray:
-    """The root's position for each of the shard's fingerprints, by links to its residents."""
+def link_shard(fp: np.ndarray, resident: np.ndarray, reach: int, seeking: np.ndarray | None = None) -> np.ndarray:
+    """The root's position for each of the shard's fingerprints, by links of those that seek (all) to its residents."""
     forest = Forest(len(fp))
-    stack = [(np.flatnonzero(resident), np.arange(len(fp)))]
+    stack = [(np.flatnonzero(resident), np.arange(len(fp)) if seeking is None else np.flatnonzero(seeking))]
     while stack:
         held, seek = stack.pop()
         if not len(held) or not len(seek):
@@ -186,18 +191,18 @@ def link_shard(fp: np.ndarray, resident: np.ndarray, reach: int) -> np.ndarray:
     return forest.up
 
 
-def link_edges(distinct: DataFrame, reach: int, sample: int = SAMPLE) -> DataFrame:
+def link_edges(distinct: DataFrame, reach: int, sample: int = SAMPLE, block_rows: int | None = None) -> DataFrame:
     """Edges ``a, b`` that join all fingerprints linked by ``reach`` bits or fewer.
 
     The number of shards grows as the root of the number of fingerprints: it balances the
     rows of a shard against the visits, of which each level of the tree makes half as many
     again.
     """
-    spark = distinct.sparkSession
-    picked = [r[0] for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()]
+    spark, most = distinct.sparkSession, block_rows or BLOCK_ROWS
     shards = int(np.ceil(np.sqrt(distinct.count()) / 4))
+    picked = [r[0] for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(max(sample, PER_SHARD * shards)).collect()]
     tree = VantageTree(np.array(picked, np.int64).view(np.uint64), shards)
-    tree_b = spark.sparkContext.broadcast(tree)  # at most ``sample`` nodes
+    tree_b = spark.sparkContext.broadcast(tree)  # a node for each shard at most
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -207,24 +212,46 @@ def link_edges(distinct: DataFrame, reach: int, sample: int = SAMPLE) -> DataFra
 
     def link(batch: pd.DataFrame) -> pd.DataFrame:
         fp = batch["fp"].to_numpy()
-        up = link_shard(fp.view(np.uint64), batch["resident"].to_numpy(), reach)
+        up = link_shard(fp.view(np.uint64), batch["resident"].to_numpy(), reach, batch["seeks"].to_numpy())
         linked = np.flatnonzero(up != np.arange(len(up)))
         return pd.DataFrame({"a": fp[linked], "b": fp[up[linked]]})
 
-    dealt = distinct.select("fp").mapInPandas(route, "shard int, fp long, resident boolean")
-    return dealt.groupBy("shard").applyInPandas(link, "a long, b long")
+    dealt, path = materialize(distinct.select("fp").mapInPandas(route, "shard int, fp long, resident boolean"), "visits")
+    edges, _ = materialize(parted(dealt, most).groupBy("shard", "i", "j").applyInPandas(link, "a long, b long"), "links")
+    discard(spark, path)
+    return edges
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def parted(dealt: DataFrame, most: int) -> DataFrame:
+    """``shard, i, j, fp, resident, seeks``: each shard's residents in parts ``i`` by its visitors in parts ``j``.
+
+    Shards of up to ``most`` rows are one part, in which a row has both roles.
+    """
+    sizes = dealt.groupBy("shard").agg(F.sum(F.col("resident").cast("long")).alias("held"), F.count(F.lit(1)).alias("n"))
+    large = sizes.where(F.col("n") > most).select("shard", F.ceil(F.col("held") / most).cast("int").alias("is"), F.ceil(F.col("n") / most).cast("int").alias("js"))
+    large = F.broadcast(large)  # a row for each shard at most
+    one = F.lit(0)
+    small = dealt.join(large, "shard", "left_anti").select("shard", one.alias("i"), one.alias("j"), "fp", "resident", F.lit(True).alias("seeks"))
+    split = dealt.join(large, "shard").withColumn("is", F.greatest("is", F.lit(1)))
+    own_i, own_j = F.pmod(F.xxhash64("fp"), F.col("is")).cast("int"), F.pmod(F.xxhash64("fp", F.lit(1)), F.col("js")).cast("int")
+    seeks = split.select("shard", F.explode(F.sequence(one, F.col("is") - 1)).alias("i"), own_j.alias("j"), "fp", F.lit(False).alias("resident"), F.lit(True).alias("seeks"))
+    held = split.where("resident").select("shard", own_i.alias("i"), F.explode(F.sequence(one, F.col("js") - 1)).alias("j"), "fp", "resident", F.lit(False).alias("seeks"))
+    return small.unionByName(seeks).unionByName(held)
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, root`` for every node of an edge, by large-star and small-star steps.
 
+    The steps need rounds in the order of the squared logarithm of the number of edges;
+    more than that, and 60, are an error.
+
     Minima are aggregated before they are joined back, so that a star of any size is
     combined on the map side and its join can be split.
     """
     spark = edges.sparkSession
     now, path = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     last = None
-    for _ in range(most_rounds):
+    for _ in range(max(60, now.count().bit_length() ** 2)):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -253,20 +280,39 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     any other; one with fewer than ``width`` words is one shingle. Rows that repeat come
     out as often as they came in; other columns are ignored.
     """
-    prints, _ = materialize(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    prints, _ = materialize(fingerprints(docs, id_col, text_col, width).drop("row"), "fingerprints")
+    named = _named(prints, reach)
+    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _named(prints: DataFrame, reach: int) -> DataFrame:
+    """``fp, root, component_id`` for each fingerprint of ``doc_id, fp``."""
     distinct, _ = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     roots = components(link_edges(distinct, reach))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rooted.join(least, "root").select("fp", "root", "component_id")
+
 
+def first_rows(members: DataFrame) -> DataFrame:
+    """Of ``root, doc_id, row`` the row that stays of each root: the smallest id, null last, then the first row."""
+    return members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select("first.row")
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, reach: int = 2) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component that with the smallest id.
 
-    Rows without an id stay.
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, reach: int = 2, similarity: tuple[int, int] | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: exactly one of each component.
+
+    It is the row with the smallest id, null ids last; of rows that repeat that id the first.
+    Null texts count as empty; texts without words are one component. An empty table gives
+    an empty result. With ``similarity``, a fraction, a link is a Jaccard similarity of the
+    sets of ``width``-word shingles of at least that. Texts so similar differ in up to
+    20 bits or so, a distance at which vantage-point trees prune nothing, so that these
+    links are found by :mod:`girder.llm.shingle_dedup` instead of fingerprints.
     """
-    groups = near_duplicate_groups(docs, id_col, text_col, width, reach)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id"))
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone_id"], "left_anti")
+    if similarity is not None:
+        from girder.llm import shingle_dedup
+
+        return shingle_dedup.near_dedup(docs, id_col, text_col, width, similarity)
+    table, row = numbered(docs)
+    prints, _ = materialize(fingerprints(table, id_col, text_col, width, row), "fingerprints")
+    return keep_rows(table, row, first_rows(prints.join(_named(prints, reach).select("fp", "root"), "fp")))

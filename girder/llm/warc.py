@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.session import materialize
+from girder.session import discard, materialize
 
 CRLF = "\r\n"
 #: RFC 4648 alphabet (fixed values).
@@ -27,6 +27,8 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 RECORD_URN = "urn:girder:page:"
+#: An address is popular that more than one in so many rows have.
+HOT = 1000
 
 
 @dataclass(frozen=True)
@@ -66,16 +68,16 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """
     payload = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("address", F.sha2("payload", 256)).withColumn("n", F.octet_length("payload"))
+    rows = rows.withColumn("address", F.sha2("payload", 256))
 
     # The payload is stored once: equal ones meet on the map side first, so a payload that
     # a third of all pages share reaches its reducer once from each map task.
-    stored = rows.groupBy("address").agg(F.min("page_id").alias("first_id"), F.max("payload").alias("payload"), F.min("payload").alias("_least"))
+    stored = rows.groupBy("address").agg(F.max("payload").alias("payload"), F.min("payload").alias("_least"))
     stored = stored.withColumn("payload", F.when(F.col("payload") == F.col("_least"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("two payloads share the SHA-256 "), F.col("address")))))
-    payloads, payloads_path = materialize(stored.select("address", "first_id", F.octet_length("payload").alias("n"), F.sha1("payload").alias("sha1"), "payload"), "warc-payloads")
+    payloads, payloads_path = materialize(stored.select("address", F.octet_length("payload").alias("n"), F.sha1("payload").alias("sha1"), "payload"), "warc-payloads")
 
-    firsts = payloads.select("address", "first_id", "sha1")
-    heads = rows.select("page_id", "url", "address", "n").join(firsts, "address")
+    narrow, narrow_path = materialize(rows.select("page_id", "url", "address", F.octet_length("payload").alias("n"), F.sha1("payload").alias("sha1")), "warc-rows")
+    heads = _with_first(narrow)
     revisit = (F.col("n") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     block = F.when(revisit, F.lit(0)).otherwise(F.col("n"))
     header = F.concat(
@@ -91,25 +93,44 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         _line("Content-Length", block),
         F.lit(CRLF),
     )
-    headers, headers_path = materialize(heads.select("page_id", revisit.alias("is_revisit"), "address", F.encode(header, "UTF-8").alias("header")), "warc-headers")
+    headers, headers_path = materialize(heads.select("page_id", revisit.alias("is_revisit"), "address", "n", F.encode(header, "UTF-8").alias("header")), "warc-headers")
+    discard(pages.sparkSession, narrow_path)
     return Archive(headers, payloads, headers_path, payloads_path)
 
 
+def _with_first(rows: DataFrame) -> DataFrame:
+    """Each row with ``first_id``, the smallest ``page_id`` of its address.
+
+    Addresses of more than a thousandth of all rows, of which there are a thousand at most,
+    are broadcast, so that no task of the join gathers the rows of a popular payload.
+    """
+    firsts = rows.groupBy("address").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("_rows"))
+    firsts, _ = materialize(firsts, "warc-firsts")
+    often = F.col("_rows") * HOT > rows.count()
+    hot = F.broadcast(firsts.where(often).select("address", "first_id"))
+    # rows of other addresses take part in the second join, where none is frequent
+    rare = firsts.where(~often).select(F.col("address").alias("_address"), F.col("first_id").alias("_first"))
+    known = rows.join(hot, "address")
+    rest = rows.join(hot.select("address"), "address", "left_anti").join(rare, F.col("address") == F.col("_address"))
+    return known.select(*rows.columns, "first_id").unionByName(rest.select(*rows.columns, F.col("_first").alias("first_id")))
+
+
 def open_archive(spark: SparkSession, headers_path: str, payloads_path: str) -> Archive:
     return Archive(spark.read.parquet(headers_path), spark.read.parquet(payloads_path), headers_path, payloads_path)
 
 
 def records(archive: Archive) -> DataFrame:
-    """The original records, byte for byte: ``page_id, address, record``.
+    """The original records, byte for byte: ``page_id, address, n, record``.
 
-    Only responses need a payload; those of one payload share an id, so the join has no hot
-    key beyond repeated rows.
+    ``n`` is the length of the payload, which a revisit's record doesn't hold. Only
+    responses need a payload; those of one payload share an id, so the join has no hot key
+    beyond repeated rows.
     """
     end = F.lit((CRLF * 2).encode()).cast("binary")
     heads = archive.headers
-    plain = heads.where("is_revisit").select("page_id", "address", F.concat("header", end).alias("record"))
+    plain = heads.where("is_revisit").select("page_id", "address", "n", F.concat("header", end).alias("record"))
     full = heads.where("not is_revisit").join(archive.payloads.select("address", "payload"), "address")
-    return plain.unionByName(full.select("page_id", "address", F.concat("header", "payload", end).alias("record")))
+    return plain.unionByName(full.select("page_id", "address", "n", F.concat("header", "payload", end).alias("record")))
 
 
 def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
@@ -130,20 +151,19 @@ def _id(urn: str | None) -> int | None:
     return int(found[1]) if found else None
 
 
-_PARSED = "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, address string"
+_PARSED = "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long"
 
 
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
-        for address, record in zip(batch["address"], batch["record"], strict=True):
+        for address, n, record in zip(batch["address"], batch["n"], batch["record"], strict=True):
             fields, block = parse_record(record)
-            digest, n = fields["WARC-Payload-Digest"].removeprefix("sha1:"), None
+            digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
             if fields["WARC-Type"] == "response":
-                n = len(block)
-                if hashlib.sha256(block).hexdigest() != address or base64.b32encode(hashlib.sha1(block).digest()).decode() != digest:
+                if len(block) != n or hashlib.sha256(block).hexdigest() != address or base64.b32encode(hashlib.sha1(block).digest()).decode() != digest:
                     raise ValueError(f"the payload of {fields.get('WARC-Record-ID')} doesn't match its digests")
-            out.append((_id(fields.get("WARC-Record-ID")), fields["WARC-Type"], _id(fields.get("WARC-Refers-To")), digest, n, address))
+            out.append((_id(fields.get("WARC-Record-ID")), fields["WARC-Type"], _id(fields.get("WARC-Refers-To")), digest, n))
         cols = [f.split()[0] for f in _PARSED.split(", ")]
         made = pd.DataFrame(out, columns=cols)
         for c in ("page_id", "refers_to", "payload_bytes"):
@@ -154,14 +174,12 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_records(archive: Archive) -> DataFrame:
     """Read an archive back: ``page_id, payload_bytes, payload_digest, record_type, refers_to``.
 
-    Every payload is verified; a revisit takes the length of the payload it refers to.
+    Every payload is verified against its address, its length and the digest of its
+    response; a revisit has the length of the payload it refers to, and its digest must be
+    that of the stored payload of its address. An empty archive gives an empty result.
     """
-    parsed = records(archive).select("address", "record").mapInPandas(_parse_batches, _PARSED)
-    lengths = archive.payloads.select("address", F.col("n").cast("long").alias("_n"))
-    return parsed.join(lengths, "address").select(
-        "page_id",
-        F.coalesce("payload_bytes", "_n").alias("payload_bytes"),
-        "payload_digest",
-        "record_type",
-        "refers_to",
-    )
+    pairs = archive.headers.where("is_revisit").select("address", F.regexp_extract(F.col("header").cast("string"), r"WARC-Payload-Digest: sha1:(\w+)", 1).alias("digest")).distinct()
+    told = pairs.join(archive.payloads.select("address", base32_of_hex(F.col("sha1")).alias("stored")), "address", "left")
+    if not told.where(~F.col("digest").eqNullSafe(F.col("stored"))).isEmpty():
+        raise ValueError("the digest of a revisit isn't that of the payload of its address")
+    return records(archive).select("address", "n", "record").mapInPandas(_parse_batches, _PARSED).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -11,14 +11,25 @@ from .conftest import SF
 
 
 def distance(item, text):
-    """Fewest edits between the whole item and any piece of the text."""
-    row = [0] * (len(text) + 1)
+    """Fewest edits between the whole item and any piece of the text that begins and ends at word boundaries."""
+    far = len(item) + len(text)
+    row = [0 if j == 0 or text[j - 1] == " " else far for j in range(len(text) + 1)]
     for i, c in enumerate(item, 1):
-        new = [i]
+        new = [row[0] + 1]
         for j, d in enumerate(text, 1):
             new.append(min(row[j - 1] + (c != d), row[j] + 1, new[j - 1] + 1))
         row = new
-    return min(row)
+    return min(n for j, n in enumerate(row) if j == len(text) or text[j] == " ")
+
+
+def brute(items, text):
+    """Whether any item is in the text: an item of k edits leaves one of its k + 1 pieces as it is."""
+    for item in items:
+        k = int(decontam.EDITS * len(item))
+        cuts = [len(item) * i // (k + 1) for i in range(k + 2)]
+        if any(item[a:b] in text for a, b in zip(cuts, cuts[1:], strict=False)) and distance(item, text) <= k:
+            return True
+    return False
 
 
 def test_edited_items_are_found_exactly_within_the_budget():
@@ -48,6 +59,24 @@ def test_lemma_bound_holds_for_every_item():
         assert item.least >= 1 and item.q >= 1 and len(item.text) + 1 - item.q - item.edits * item.q >= 1 or item.q == 1
 
 
+def test_items_do_not_match_inside_words(spark):
+    docs = spark.createDataFrame([(1, "The stones lay still"), (2, "a cathedral"), (3, "One, two."), (4, "see: a cat!"), (5, None), (5, "only one")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "one"), (2, "a cat"), (3, None), (4, "")], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.contaminated_spans(docs, bench).collect()}
+    assert found == {(3, 1), (4, 2), (5, 1)}
+    assert sorted((r.doc_id, r.text) for r in decontam.decontaminate(docs, bench).fillna("").collect()) == [(1, "The stones lay still"), (2, "a cathedral"), (5, "")]
+
+
+def test_filter_acts_on_rows_and_blocks(spark):
+    docs = spark.createDataFrame([(1, "x y", 1), (2, "x y", 2), (2, "alpha beta gamma", 3), (None, "ALPHA beta, gamma", 4), (None, None, 5), (3, "delta", 6)], "doc_id long, text string, shared int")
+    bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta")], "item_id long, text string")
+    for chars in (4, 4_000_000):
+        kept = decontam.decontaminate(docs, bench, block_chars=chars)
+        assert kept.columns == docs.columns and sorted(r.shared for r in kept.collect()) == [1, 2, 5]
+        assert {(r.doc_id, r.item_id) for r in decontam.contaminated_spans(docs, bench, block_chars=chars).collect()} == {(2, 1), (None, 1), (3, 2)}
+    assert decontam.decontaminate(docs, bench.limit(0)).count() == docs.count()
+
+
 def test_places_are_those_of_the_whole_text():
     text = "ÀÉ İx !!  Some, THING--here (and) there."
     got, places = decontam.normalize(text)

@@ -48,7 +48,16 @@ def test_empty_table(nothing):
 def test_filter_keeps_one_of_each_group_and_all_columns(awkward):
     kept = exact_dedup.exact_dedup(awkward)
     assert kept.columns == awkward.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [2, 5, 6, 7, 7, 8, 9, 10, 11]
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [2, 5, 6, 7, 8, 9, 10, 11]
+
+
+def test_filter_keeps_one_row_of_each_text_whatever_its_id(spark):
+    rows = [(1, "a"), (1, "b"), (1, "b"), (2, "c"), (2, "c"), (None, "d e"), (None, "de"), (None, "d e"), (3, "a"), (None, "b")]
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, _row_number int")
+    for bits in (256, 4):
+        kept = exact_dedup.exact_dedup(df, digest_bits=bits)
+        assert kept.columns == df.columns
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, "a"), (1, "b"), (2, "c"), (None, "d e")], key=repr)
 
 
 def test_hot_group(spark):

@@ -66,11 +66,34 @@ def test_empty_table(nothing):
     assert simhash.near_dedup(nothing).columns == nothing.columns
 
 
-def test_filter_keeps_the_smallest_of_each_group(awkward):
+def test_filter_keeps_one_row_of_each_group(awkward):
     kept = [r.doc_id for r in simhash.near_dedup(awkward).collect()]
     groups = simhash.near_duplicate_groups(awkward).collect()
-    assert sorted(x for x in kept if x) == sorted(r.doc_id for r in groups if r.doc_id and r.doc_id == r.component_id)
-    assert kept.count(None) == 2
+    assert sorted(kept, key=repr) == sorted({r.component_id for r in groups}, key=repr)
+
+
+def test_filter_acts_on_rows(spark):
+    one, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    df = spark.createDataFrame([(1, one, 1), (2, one, 2), (2, other, 3), (2, other, 4), (None, one, 5), (None, "c d e", 6)], "doc_id long, text string, row int")
+    for more in ({}, {"width": 5, "similarity": (4, 5)}):
+        kept = simhash.near_dedup(df, **more)
+        assert kept.columns == df.columns
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, one), (2, other), (None, "c d e")], key=repr)
+
+
+def test_large_shards_are_compared_in_parts(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**62, 150)
+    fps = np.unique(np.concatenate([base ^ (1 << rng.integers(0, 62, 150)) for _ in range(4)] + [base]))
+    distinct = spark.createDataFrame([(int(x),) for x in fps], "fp long")
+    roots = []
+    for most in (1 << 17, 40):
+        found = {r.node: r.root for r in simhash.components(simhash.link_edges(distinct, 2, block_rows=most)).collect()}
+        roots.append([found.get(int(x), int(x)) for x in fps])
+    assert roots[0] == roots[1] and len(set(roots[0])) <= 150
+    dealt = distinct.selectExpr("0 shard", "fp", "fp % 3 <> 0 resident")
+    sizes = simhash.parted(dealt, 40).groupBy("shard", "i", "j").count().collect()
+    assert len(sizes) > 100 and max(r["count"] for r in sizes) <= 160
 
 
 @settings(max_examples=40, deadline=None)

@@ -56,11 +56,25 @@ def test_records_parse_and_bad_ones_do_not(pages):
 
 def test_damage_is_noticed(spark, pages):
     a = warc.write_archive(pages)
-    broken = a.payloads.selectExpr("address", "first_id", "n", "sha1", "case when n = 4 then cast('evil' as binary) else payload end payload")
+    broken = a.payloads.selectExpr("address", "n", "sha1", "case when n = 4 then cast('evil' as binary) else payload end payload")
     with pytest.raises(Exception, match="doesn't match its digests"):
         warc.read_records(warc.Archive(a.headers, broken, "", "")).collect()
 
 
+def test_a_wrong_digest_of_a_revisit_is_noticed(pages):
+    a = warc.write_archive(pages)
+    broken = a.payloads.selectExpr("address", "n", "reverse(sha1) sha1", "payload")
+    with pytest.raises(ValueError, match="digest of a revisit"):
+        warc.read_records(warc.Archive(a.headers, broken, "", ""))
+
+
+def test_popular_payloads_are_not_joined_by_address(pages, monkeypatch):
+    want = sorted(map(tuple, warc.read_records(warc.write_archive(pages)).collect()), key=repr)
+    for hot in (1, 4, 1000):
+        monkeypatch.setattr(warc, "HOT", hot)
+        assert sorted(map(tuple, warc.read_records(warc.write_archive(pages)).collect()), key=repr) == want
+
+
 def test_empty_table(pages):
     assert warc.read_records(warc.write_archive(pages.limit(0))).count() == 0
 
