@@ -31,7 +31,11 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return table, name
 
 
-def keep_rows(table: DataFrame, name: str, kept: DataFrame) -> DataFrame:
-    """The rows of a numbered table whose numbers are in the one column of ``kept``."""
-    kept = kept.toDF("_kept_row")
-    return table.join(kept, table[name] == kept["_kept_row"], "left_semi").drop(name)
+def drop_rows(table: DataFrame, name: str, gone: DataFrame) -> DataFrame:
+    """A numbered table without the rows whose numbers are in the one column of ``gone``.
+
+    The numbers are written first: where they are few, Spark sees it and the rows of the
+    table stay where they are; else both sides are dealt by number, which is never skewed.
+    """
+    gone, _ = materialize(gone.toDF("_gone_row"), "gone")
+    return table.join(gone, table[name] == gone["_gone_row"], "left_anti").drop(name)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from girder.llm.common import keep_rows, numbered, text_or_empty
+from girder.llm.common import drop_rows, numbered, text_or_empty
 from girder.session import discard, materialize
 
 #: Characters that equality ignores.
@@ -115,5 +115,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     table, row = numbered(docs)
     judged, by = _judged(table, id_col, text_col, salts, digest_bits, row)
+    judged, _ = materialize(judged.where("group_size > 1").select("_row", "_cp", "kept", *by), "exact-copies")
     best = judged.where("kept").groupBy(*by).agg(F.min(F.struct(-F.col("_cp"), "_row")).alias("_best"))
-    return keep_rows(table, row, best.select("_best._row"))
+    stay = best.select(F.col("_best._row").alias("_stays"))
+    return drop_rows(table, row, judged.join(stay, F.col("_row") == F.col("_stays"), "left_anti").select("_row"))

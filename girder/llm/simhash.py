@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from girder.llm.common import keep_rows, numbered, text_or_empty
+from girder.llm.common import drop_rows, numbered, text_or_empty
 from girder.session import discard, materialize
 
 SEED = 42
@@ -294,9 +294,11 @@ def _named(prints: DataFrame, reach: int) -> DataFrame:
     return rooted.join(least, "root").select("fp", "root", "component_id")
 
 
-def first_rows(members: DataFrame) -> DataFrame:
-    """Of ``root, doc_id, row`` the row that stays of each root: the smallest id, null last, then the first row."""
-    return members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select("first.row")
+def later_rows(members: DataFrame) -> DataFrame:
+    """Of ``root, doc_id, row`` all rows but the one that stays of each root: that with the smallest id, null last, then the first."""
+    first = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    first = first.select(F.col("first.row").alias("_stays"))
+    return members.join(first, members["row"] == first["_stays"], "left_anti").select("row")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, reach: int = 2, similarity: tuple[int, int] | None = None) -> DataFrame:
@@ -315,4 +317,4 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return shingle_dedup.near_dedup(docs, id_col, text_col, width, similarity)
     table, row = numbered(docs)
     prints, _ = materialize(fingerprints(table, id_col, text_col, width, row), "fingerprints")
-    return keep_rows(table, row, first_rows(prints.join(_named(prints, reach).select("fp", "root"), "fp")))
+    return drop_rows(table, row, later_rows(prints.join(_named(prints, reach).select("fp", "root"), "fp")))
