@@ -27,7 +27,7 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     name = "_row_number"
     while name.lower() in (c.lower() for c in docs.columns):
         name += "_"
-    table, _ = materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    table, _ = materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered", codec="zstd")
     return table, name
 
 
