@@ -114,12 +114,16 @@ def from_mapping(raw: dict) -> Settings:
     limits = dict(raw.get("thresholds", {}))
     profile = limits.pop("profile", "default")
     names = {f.name for f in fields(Thresholds)}
-    entry = raw.get("symbols", {}).get("framework_decorators", raw.get("framework_decorators"))
+    entry = scan.get("framework_decorators", raw.get("symbols", {}).get("framework_decorators", raw.get("framework_decorators")))
     decorators = FRAMEWORK_DECORATORS
     if isinstance(entry, list):
         decorators = tuple(dict.fromkeys((*FRAMEWORK_DECORATORS, *entry)))
     elif isinstance(entry, dict):
-        decorators = tuple(entry["replace"]) if "replace" in entry else tuple(dict.fromkeys((*FRAMEWORK_DECORATORS, *entry.get("add", ()))))
+        own = entry.get("replace", False)  # a flag beside ``add``, or the list itself
+        if isinstance(own, bool):
+            decorators = tuple(dict.fromkeys((*(() if own else FRAMEWORK_DECORATORS), *entry.get("add", ()))))
+        else:
+            decorators = tuple(own)
     layers = rules.get("layers", {})
     return Settings(
         project_name=raw.get("project", {}).get("name", ""),

@@ -88,13 +88,14 @@ def _is_guard(node: ast.stmt) -> bool:
 def imports(tree: ast.Module) -> list[dict]:
     """Raw imports in order: ``raw, level, name, line, is_from_import, is_type_checking, is_deferred``.
 
-    ``from X import y`` names ``X.y``, and ``X`` itself once for each file. Blocks other
+    ``from X import y`` names ``X.y``, and ``X`` itself unless an earlier import named it. Blocks other
     than functions, classes, ``if``, and the body and handlers of ``try`` are not entered.
     """
     out: list[dict] = []
-    whole: set[tuple[int, str]] = set()
+    named: set[tuple[int, str]] = set()
 
     def add(level: int, raw: str, name: str, node: ast.stmt, is_from: bool, checking: bool, deferred: bool) -> None:
+        named.add((level, raw))
         out.append({"raw": raw, "level": level, "name": name, "line": node.lineno, "is_from_import": is_from, "is_type_checking": checking, "is_deferred": deferred})
 
     def walk(body: list[ast.stmt], checking: bool, deferred: bool, top: bool) -> None:
@@ -108,8 +109,7 @@ def imports(tree: ast.Module) -> list[dict]:
                 base = node.module or ""
                 for a in node.names:
                     add(node.level, f"{base}.{a.name}" if base else a.name, a.name, node, True, checking, deferred)
-                if (node.level, base) not in whole:
-                    whole.add((node.level, base))
+                if (node.level, base) not in named:
                     add(node.level, base, base if not node.level else node.names[0].name, node, True, checking, deferred)
             elif isinstance(node, _FUNCTIONS):
                 walk(node.body, checking, True, False)

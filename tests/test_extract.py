@@ -118,3 +118,25 @@ def test_settings(tmp_path):
     assert s.thresholds.profile == "strict+custom" and s.thresholds.cc_high == 12 and s.thresholds.cc_critical == STRICT.cc_critical
     assert s.rules.layers == ("p.low", "p.high") and s.rules.forbidden == (("p.a", ("p.b",)),) and s.rules.independence == (("p.a", "p.b"),) and s.exclude_patterns == ("*.skip",)
     assert RELAXED.cc_high == 30 and normal_languages(["ts", "cobol", "JS"]) == ("typescript", "javascript") and normal_languages([]) == ("python",)
+
+
+def test_a_base_that_was_named_before_is_not_named_again():
+    import ast
+
+    from girder.extract.python_source import imports
+
+    def raws(text):
+        return [i["raw"] for i in imports(ast.parse(text))]
+
+    assert raws("import a.b\nfrom a.b import c") == ["a.b", "a.b.c"]
+    assert raws("from a import b\nfrom a.b import c") == ["a.b", "a", "a.b.c"]
+    assert raws("from a import b\nfrom a import c") == ["a.b", "a", "a.c"]
+
+
+def test_framework_decorators_of_the_scan_table():
+    from girder.config import FRAMEWORK_DECORATORS, from_mapping
+
+    assert from_mapping({"scan": {"framework_decorators": {"add": ["x"], "replace": True}}}).decorators == ("x",)
+    assert from_mapping({"scan": {"framework_decorators": {"add": ["x"]}}}).decorators == (*FRAMEWORK_DECORATORS, "x")
+    assert from_mapping({"symbols": {"framework_decorators": {"replace": ["y"]}}}).decorators == ("y",)
+    assert from_mapping({}).decorators == FRAMEWORK_DECORATORS
