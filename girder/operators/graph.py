@@ -1,8 +1,8 @@
 """Graph operators over ``nodes(id, ...)`` and ``edges(source, target, ...)``; ids of any one type.
 
-Reachability and paths have two forms. Edges up to :data:`BROADCAST_EDGES`, counted before,
-are broadcast and searched from every seed in parallel; more edges are expanded by joins,
-round by round, each round written to the shared folder.
+Searches have two forms with the same rows. Edges up to :data:`BROADCAST_EDGES`, counted
+before, are broadcast and searched from every seed in parallel; more edges are expanded by
+joins, round by round, each round written to the shared folder.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from girder.session import discard, materialize
 
 BROADCAST_EDGES = 500_000
+#: Sources whose shortest paths are counted at a time in graphs beyond that.
+SEEDS_AT_ONCE = 4_096
 
 
 def build_edges(imports: DataFrame, nodes: DataFrame, order: list[str] | None = None) -> DataFrame:
@@ -123,27 +125,31 @@ def _spread(seeds: DataFrame, graph: Adjacency) -> DataFrame:
 def _reach_by_joins(edges: DataFrame, seeds: DataFrame, most: int | None) -> DataFrame:
     spark = edges.sparkSession
     steps = edges.select(F.col("source").alias("via"), F.col("target").alias("node")).distinct()
-    front, _ = materialize(seeds.join(steps, seeds["seed"] == steps["via"]).select("seed", "node").distinct().withColumn("steps", F.lit(1).cast("long")), "front")
-    known, path, n = front, None, 1
+    first = seeds.join(steps, seeds["seed"] == steps["via"]).select("seed", "node").distinct()
+    front, last = materialize(first.withColumn("steps", F.lit(1).cast("long")), "front")
+    known, path = materialize(front, "known")
+    n = 1
     while not front.isEmpty() and (most is None or n < most):
         n += 1
         made = front.select("seed", F.col("node").alias("via")).join(steps, "via").select("seed", "node").distinct()
-        front, _ = materialize(made.join(known, ["seed", "node"], "left_anti").withColumn("steps", F.lit(n).cast("long")), "front")
+        front, new = materialize(made.join(known, ["seed", "node"], "left_anti").withColumn("steps", F.lit(n).cast("long")), "front")
+        discard(spark, last)
+        last = new
         known, new = materialize(known.unionByName(front), "known")
-        if path:
-            discard(spark, path)
+        discard(spark, path)
         path = new
+    discard(spark, last)
     return known
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
     """``source, target, path``: of the shortest paths the first in order; no row where there is none.
 
-    A node's path to itself is the node alone. The graph must be one that can be broadcast.
+    A node's path to itself is the node alone.
     """
-    graph = small(edges)
+    graph = small(edges, broadcast_edges)
     if graph is None:
-        raise ValueError(f"paths are listed for graphs of at most {BROADCAST_EDGES} edges; use reach() for their lengths")
+        return _paths_by_joins(edges, pairs)
     kind = dict(edges.dtypes)["source"]
     spark = edges.sparkSession
     shared = spark.sparkContext.broadcast(graph)
@@ -172,6 +178,26 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.select("source", "target").distinct().mapInPandas(find, f"source {kind}, target {kind}, path array<{kind}>")
 
 
+def _paths_by_joins(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Distances to every target asked for, then one step a round towards it, to the smallest node that is nearer."""
+    spark = edges.sparkSession
+    asked = pairs.select("source", "target").distinct()
+    steps = edges.select(F.col("source").alias("at"), F.col("target").alias("next")).distinct()
+    far = _reach_by_joins(reverse(edges), asked.select(F.col("target").alias("seed")).distinct(), None)
+    far = far.where("seed <> node").select(F.col("seed").alias("target"), F.col("node").alias("at"), "steps")
+    own = F.array("source").alias("path")
+    start = asked.where("source <> target").join(far.withColumnRenamed("at", "source"), ["source", "target"])
+    left, last = materialize(start.select("source", "target", F.col("source").alias("at"), "steps", own), "paths")
+    done = [asked.where("source = target").select("source", "target", own)]
+    while not left.isEmpty():
+        done.append(left.where("steps = 1").select("source", "target", F.concat("path", F.array("target")).alias("path")))
+        nearer = far.select("target", F.col("at").alias("next"), F.col("steps").alias("_steps"))
+        onward = left.where("steps > 1").join(steps, "at").join(nearer, ["target", "next"]).where("_steps = steps - 1")
+        moved = onward.groupBy("source", "target", "steps", "path").agg(F.min("next").alias("at"))
+        left, _ = materialize(moved.select("source", "target", "at", (F.col("steps") - 1).alias("steps"), F.concat("path", F.array("at")).alias("path")), "paths")
+    return reduce(DataFrame.unionByName, done)
+
+
 def neighborhood(edges: DataFrame, node: object, hops: int = 1) -> DataFrame:
     """All nodes within ``hops`` steps, whichever way the edges point, the node included."""
     spark = edges.sparkSession
@@ -218,14 +244,15 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], f"id {kind}, level long")
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def betweenness(nodes: DataFrame, edges: DataFrame, broadcast_edges: int = BROADCAST_EDGES, seeds_at_once: int = SEEDS_AT_ONCE) -> DataFrame:
     """``id, centrality``: directed, unweighted, without end points, scaled by 1/((n-1)(n-2)).
 
-    Sources are dealt out; each task runs its own from the broadcast graph and adds up by node.
+    Sources are dealt out; each task runs its own from the broadcast graph and adds up by
+    node. Larger graphs go through joins, for about ``seeds_at_once`` sources at a time.
     """
-    graph = small(edges)
+    graph = small(edges, broadcast_edges)
     if graph is None:
-        raise ValueError(f"betweenness is for graphs of at most {BROADCAST_EDGES} edges")
+        return _scaled(nodes, _shares_by_joins(nodes, edges, seeds_at_once))
     kind = dict(nodes.dtypes)["id"]
     shared = nodes.sparkSession.sparkContext.broadcast(graph)
 
@@ -242,12 +269,54 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             yield pd.DataFrame({"id": [g.labels[i] for i in hit], "share": total[hit]})
 
     seeds = _spread(nodes.select(F.col("id").alias("seed")), graph)
-    shares = seeds.mapInPandas(run, f"id {kind}, share double").groupBy("id").agg(F.sum("share").alias("share"))
+    return _scaled(nodes, seeds.mapInPandas(run, f"id {kind}, share double"))
+
+
+def _scaled(nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    shares = parts.groupBy("id").agg(F.sum("share").alias("share"))
     n = nodes.count()
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
     return nodes.select("id").join(shares, "id", "left").select("id", (F.coalesce("share", F.lit(0.0)) * scale).alias("centrality"))
 
 
+def _shares_by_joins(nodes: DataFrame, edges: DataFrame, seeds_at_once: int) -> DataFrame:
+    """``id, share``: per batch of seeds, counts of shortest paths level by level outwards, shares level by level back."""
+    spark = edges.sparkSession
+    steps = edges.where("source <> target").select(F.col("source").alias("via"), F.col("target").alias("node")).distinct()
+    seeds = steps.select(F.col("via").alias("seed")).distinct().join(nodes.select(F.col("id").alias("seed")), "seed", "left_semi")
+    seeds, _ = materialize(seeds, "seeds")
+    batches = max(1, -(-seeds.count() // seeds_at_once))
+    parts: list[DataFrame] = []
+    for k in range(batches):
+        own = seeds.where(F.pmod(F.xxhash64("seed"), F.lit(batches)) == k)
+        front, path = materialize(own.select("seed", F.col("seed").alias("node"), F.lit(1.0).alias("ways")), "level")
+        levels, known = [(front, path)], front
+        while True:
+            made = front.withColumnRenamed("node", "via").join(steps, "via").groupBy("seed", "node").agg(F.sum("ways").alias("ways"))
+            front, path = materialize(made.join(known, ["seed", "node"], "left_anti"), "level")
+            if front.isEmpty():
+                discard(spark, path)
+                break
+            levels.append((front, path))
+            known = known.unionByName(front)
+        share, last = levels[-1][0].select("seed", "node", F.lit(0.0).alias("share")), None
+        for depth in range(len(levels) - 2, 0, -1):
+            nearer = levels[depth][0].select("seed", F.col("node").alias("via"), F.col("ways").alias("_ways"))
+            beyond = levels[depth + 1][0].join(share, ["seed", "node"]).join(steps, "node").join(nearer, ["seed", "via"])
+            made = beyond.groupBy("seed", F.col("via").alias("node")).agg(F.sum(F.col("_ways") / F.col("ways") * (1 + F.col("share"))).alias("share"))
+            some = nearer.select("seed", F.col("via").alias("node")).join(made, ["seed", "node"], "left").fillna({"share": 0.0})
+            share, path = materialize(some, "share")
+            part, _ = materialize(share.where("share > 0").groupBy(F.col("node").alias("id")).agg(F.sum("share").alias("share")), "part")
+            parts.append(part)
+            if last:
+                discard(spark, last)
+            last = path
+        for path in [p for _, p in levels] + ([last] if last else []):
+            discard(spark, path)
+    kind = dict(nodes.dtypes)["id"]
+    return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], f"id {kind}, share double"))
+
+
 def _dependencies(g: Adjacency, seed: int) -> np.ndarray:
     """How much of the shortest paths from ``seed`` runs through each node."""
     n = len(g.labels)
@@ -319,8 +388,95 @@ def top_hubs(nodes: DataFrame, edges: DataFrame, limit: int = 15) -> DataFrame:
     return degrees(nodes, edges).orderBy(F.desc("ca"), "id").limit(limit).where("ca > 0").select("id", "ca", "ce")
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def strong_components(edges: DataFrame, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
     """``id, scc`` for each node that lies on a cycle with another: the smallest of its members."""
-    pairs = reach(edges).select("seed", "node").where("seed <> node")
-    back = pairs.select(F.col("node").alias("seed"), F.col("seed").alias("node"))
-    return pairs.join(back, ["seed", "node"]).groupBy(F.col("seed").alias("id")).agg(F.least(F.min("node"), F.col("seed")).alias("scc"))
+    pairs = edges.select("source", "target").where("source <> target").distinct()
+    graph = small(pairs, broadcast_edges)
+    if graph is None:
+        return _components_by_joins(pairs)
+    kind = dict(edges.dtypes)["source"]
+    rows = [(graph.labels[i], graph.labels[c]) for i, c in enumerate(_components(graph)) if c >= 0]
+    return edges.sparkSession.createDataFrame(rows, f"id {kind}, scc {kind}")
+
+
+def _components(g: Adjacency) -> np.ndarray:
+    """The first node of each node's component, -1 for those alone: finishing order, then searches against the edges."""
+    n = len(g.labels)
+    out = np.full(n, -1, np.int64)
+    if not n:
+        return out
+    first, targets = g.first.tolist(), g.targets.tolist()
+    at, seen, finished = first[:-1].copy(), [False] * n, []
+    for root in range(n):
+        if seen[root]:
+            continue
+        seen[root], stack = True, [root]
+        while stack:
+            x = stack[-1]
+            while at[x] < first[x + 1] and seen[targets[at[x]]]:
+                at[x] += 1
+            if at[x] < first[x + 1]:
+                seen[targets[at[x]]] = True
+                stack.append(targets[at[x]])
+            else:
+                finished.append(stack.pop())
+    origin = np.repeat(np.arange(n), np.diff(g.first))
+    order = np.argsort(g.targets, kind="stable")
+    back, start = origin[order].tolist(), np.searchsorted(g.targets[order], np.arange(n + 1)).tolist()
+    free = [True] * n
+    for root in reversed(finished):
+        if free[root]:
+            free[root], members, todo = False, [root], [root]
+            while todo:
+                x = todo.pop()
+                for y in back[start[x] : start[x + 1]]:
+                    if free[y]:
+                        free[y] = False
+                        members.append(y)
+                        todo.append(y)
+            if len(members) > 1:
+                out[members] = min(members)
+    return out
+
+
+def _components_by_joins(pairs: DataFrame) -> DataFrame:
+    """Nodes take the smallest id that leads to them; those of a colour that lead back to that id are its component.
+
+    What is left, and joins nodes of one colour, goes through the same again.
+    """
+    spark = pairs.sparkSession
+    kind = dict(pairs.dtypes)["source"]
+    left, path = materialize(pairs, "edges")
+    found: list[DataFrame] = []
+    while not left.isEmpty():
+        ends = left.select(F.col("source").alias("id")).intersect(left.select(F.col("target").alias("id")))
+        inner = left.join(ends.withColumnRenamed("id", "source"), "source", "left_semi").join(ends.withColumnRenamed("id", "target"), "target", "left_semi")
+        inner, inner_path = materialize(inner, "edges")
+        ids = inner.select(F.col("source").alias("id")).union(inner.select(F.col("target").alias("id"))).distinct()
+        colour, colour_path = materialize(ids.withColumn("colour", F.col("id")), "colour")
+        while True:
+            into = inner.join(colour.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.min("colour").alias("_new"))
+            made, new = materialize(colour.join(into, "id", "left").select("id", F.least("colour", "_new").alias("colour"), (F.col("_new") < F.col("colour")).alias("_moved")), "colour")
+            still = made.where("_moved").isEmpty()
+            discard(spark, colour_path)
+            colour, colour_path = made.drop("_moved"), new
+            if still:
+                break
+        same = inner.join(colour.withColumnRenamed("id", "source"), "source").join(colour.select(F.col("id").alias("target"), F.col("colour").alias("_colour")), "target").where("colour = _colour").drop("_colour")
+        same, same_path = materialize(same, "edges")
+        front, _ = materialize(colour.where("id = colour"), "front")
+        members = front
+        while not front.isEmpty():
+            made = same.join(front.select(F.col("id").alias("target")), "target", "left_semi").select(F.col("source").alias("id"), "colour").distinct()
+            front, _ = materialize(made.join(members, "id", "left_anti"), "front")
+            members = members.unionByName(front)
+        members, _ = materialize(members, "members")
+        found.append(members)
+        rest = same.join(members.select(F.col("id").alias("source")), "source", "left_anti").join(members.select(F.col("id").alias("target")), "target", "left_anti")
+        left, new = materialize(rest.select("source", "target"), "edges")
+        for p in (path, inner_path, same_path, colour_path):
+            discard(spark, p)
+        path = new
+    everyone = reduce(DataFrame.unionByName, found, spark.createDataFrame([], f"id {kind}, colour {kind}"))
+    groups = everyone.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("colour")
+    return everyone.join(groups, "colour", "left_semi").select("id", F.col("colour").alias("scc"))

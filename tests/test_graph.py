@@ -63,6 +63,24 @@ def test_shortest_paths(spark, n, pairs):
     assert got == want
 
 
+@pytest.mark.parametrize("n, pairs", GRAPHS[2:])
+def test_forms_by_joins(spark, n, pairs):
+    nodes, e = make(spark, n, pairs)
+    asked = spark.createDataFrame(list(itertools.product(range(n + 1), repeat=2)), "source long, target long")
+    for find in (lambda **k: graph.shortest_paths(e, asked, **k), lambda **k: graph.strong_components(e, **k)):
+        assert sorted(find(broadcast_edges=0).collect()) == sorted(find().collect())
+    want = {r.id: r.centrality for r in graph.betweenness(nodes, e).collect()}
+    for size in (3, 100):
+        got = {r.id: r.centrality for r in graph.betweenness(nodes, e, 0, size).collect()}
+        assert got == pytest.approx(want)
+
+
+def test_components_of_long_rings(spark):
+    ring = [(i, (i + 1) % 5000) for i in range(5000)] + [(5000 + i, 5001 + i) for i in range(5000)]
+    _, e = make(spark, 1, ring)
+    assert {(r.id, r.scc) for r in graph.strong_components(e).collect()} == {(i, 0) for i in range(5000)}
+
+
 @pytest.mark.parametrize("n, pairs", GRAPHS)
 def test_betweenness(spark, n, pairs):
     nodes, e = make(spark, n, pairs)
