@@ -23,19 +23,24 @@ def _parser() -> argparse.ArgumentParser:
         c = commands.add_parser(name, help=text)
         c.add_argument("project")
         c.add_argument("--languages", default="", help="comma-separated: python, javascript, typescript")
+        c.add_argument("--tsconfig", default="", help="tsconfig.json with the path aliases; the project's own by default")
+        c.add_argument("--package-root", default="", help="folder that script specifiers with a leading slash start from; the project by default")
         return c
 
     c = command("analyze", "report on a project")
     c.add_argument("-f", "--format", choices=["text", "json", "dot", "html"], default="text")
     c.add_argument("-o", "--output")
-    c.add_argument("--exclude", action="append", default=[])
-    c.add_argument("--include", action="append", default=[])
+    c.add_argument("--max-depth", type=int, help="names with more parts below the project are one module")
+    c.add_argument("--exclude", nargs="*", action="extend", default=[])
+    c.add_argument("--include", nargs="*", action="extend", default=[])
     c = command("context", "what to know before changing files")
     c.add_argument("files", nargs="+")
     c.add_argument("--full", action="store_true")
     c = command("show", "write the graph as a page")
     c.add_argument("-o", "--output", default="graph.html")
+    c.add_argument("--max-depth", type=int)
     c = command("check", "check architecture rules; exit code 1 on a violation")
+    c.add_argument("--config", help="settings file; the nearest girder.toml or pyproject.toml by default")
     c.add_argument("--no-cycles", action="store_true")
     c = command("metrics", "metrics of all modules")
     c.add_argument("--sort", default="ca")
@@ -47,9 +52,11 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("-s", "--symbol")
     c.add_argument("--hotspots", action="store_true")
     c.add_argument("--unused", action="store_true")
+    c.add_argument("--json", action="store_true")
     c = command("hotspots", "complex files that change often; exit code 1 without a history")
     c.add_argument("--limit", type=int, default=20)
     c.add_argument("--days", type=int, default=90)
+    c.add_argument("--json", action="store_true")
     return p
 
 
@@ -57,9 +64,20 @@ def _rows(df) -> str:
     return "".join(json.dumps(r.asDict(recursive=True), default=str) + "\n" for r in df.collect())
 
 
+def _one(rows: dict) -> str:
+    return json.dumps(rows, indent=2, default=str) + "\n"
+
+
+def _dicts(df) -> list[dict]:
+    return [r.asDict(recursive=True) for r in df.collect()]
+
+
 def run(args: argparse.Namespace) -> tuple[int, str]:
     """Exit code and output of a parsed command."""
-    base = find_settings(args.project) if args.command in ("check", "impact") else Settings()
+    base = find_settings(args.project, getattr(args, "config", None)) if args.command in ("check", "impact") else Settings()
+    base = replace(base, tsconfig=args.tsconfig or base.tsconfig, package_root=args.package_root or base.package_root)
+    if getattr(args, "max_depth", None):
+        base = replace(base, max_depth=args.max_depth)
     if args.languages:
         base = replace(base, languages=normal_languages(args.languages.split(",")))
     if args.command == "analyze":
@@ -88,7 +106,7 @@ def run(args: argparse.Namespace) -> tuple[int, str]:
             return 0, _rows(rows.where(rows["id"] == ids[0]))
         return 0, _rows(a.batch(ids).orderBy("id"))
     if args.command == "check":
-        rows = a.violations().orderBy("rule_ord", "source", "target")
+        rows = a.violation_paths().orderBy("rule_ord", "source", "target")
         bad = not rows.isEmpty() or args.no_cycles and not a.cycles.isEmpty()
         return int(bad), _rows(rows) + (render.cycle_text(a) if args.no_cycles else "")
     if args.command == "metrics":
@@ -96,6 +114,12 @@ def run(args: argparse.Namespace) -> tuple[int, str]:
             return 0, _rows(metrics.functions_by_complexity(a.symbols, 50 if args.json else 30))
         return 0, _rows(metrics.sort_metrics(a.metrics, args.sort, args.limit)) if args.json else render.table(a, args.sort, args.limit)
     if args.command == "impact":
+        if args.json and (args.unused or args.hotspots or args.symbol):
+            if args.unused:
+                return 0, _one({"unused": _dicts(a.unused().select("module", "name", "kind", "line").orderBy("module", "line"))})
+            if args.hotspots:
+                return 0, _one({"hotspots": _dicts(a.symbol_hotspots().orderBy("usage", ascending=False))})
+            return 0, _one({"symbol": args.symbol, "importers": _dicts(a.symbol_impact(args.symbol).orderBy("module", "importer"))})
         if args.unused:
             return 0, _rows(a.unused().select("module", "name", "kind", "line").orderBy("module", "line"))
         if args.hotspots:
@@ -103,9 +127,13 @@ def run(args: argparse.Namespace) -> tuple[int, str]:
         if args.symbol:
             return 0, _rows(a.symbol_impact(args.symbol).orderBy("module", "importer"))
         found = a.resolve([args.file or ""]).first()
+        if args.json and found and found.id:
+            return 0, _one(render.impact(a, found.id))
         return (0, render.impact_text(a, found.id)) if found and found.id else (1, f"not found: {args.file}\n")
     rows = a.hotspots(args.limit)
-    return (1, "no commit history\n") if rows is None else (0, _rows(rows))
+    if rows is None:
+        return 1, "no commit history\n"
+    return 0, _one({"days": args.days, "hotspots": _dicts(rows)}) if args.json else _rows(rows)
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -97,6 +97,9 @@ class Settings:
     thresholds: Thresholds = field(default_factory=Thresholds)
     rules: Rules = field(default_factory=Rules)
     decorators: tuple[str, ...] = FRAMEWORK_DECORATORS
+    tsconfig: str = ""
+    package_root: str = ""
+    max_depth: int | None = None
 
 
 _ALIASES = {"py": "python", "js": "javascript", "ts": "typescript"}
@@ -113,6 +116,8 @@ def from_mapping(raw: dict) -> Settings:
     scan, rules = raw.get("scan", raw.get("project", {})), raw.get("rules", {})
     limits = dict(raw.get("thresholds", {}))
     profile = limits.pop("profile", "default")
+    limits |= {f"ratio_{language}": ratio for language, ratio in limits.pop("token_ratios", {}).items()}
+    scripts = [s for s in scan.get("language", {}).values() if isinstance(s, dict)]
     names = {f.name for f in fields(Thresholds)}
     entry = scan.get("framework_decorators", raw.get("symbols", {}).get("framework_decorators", raw.get("framework_decorators")))
     decorators = FRAMEWORK_DECORATORS
@@ -141,18 +146,26 @@ def from_mapping(raw: dict) -> Settings:
             acyclic_siblings=tuple(r.get("ancestor", "") for r in rules.get("acyclic_siblings", ())),
         ),
         decorators=decorators,
+        tsconfig=next((s["tsconfig"] for s in scripts if s.get("tsconfig")), ""),
+        package_root=next((s["package_root"] for s in scripts if s.get("package_root")), ""),
+        max_depth=raw.get("analysis", {}).get("max_depth"),
     )
 
 
-def find_settings(start: str | Path) -> Settings:
-    """The first settings file from ``start`` upwards, with the ignore file of ``start``."""
+def _read(path: Path) -> dict | None:
+    """The settings in a file; None if a project file has none."""
+    raw = tomllib.loads(path.read_text(encoding="utf-8"))
+    return raw.get("tool", {}).get("girder") if path.name == "pyproject.toml" else raw
+
+
+def find_settings(start: str | Path, config: str | Path | None = None) -> Settings:
+    """``config``, or the first settings file from ``start`` upwards, with the ignore file of ``start``."""
     start = Path(start).resolve()
-    found = Settings()
-    for folder in (start, *start.parents):
+    found = from_mapping(_read(Path(config)) or {}) if config else Settings()
+    for folder in () if config else (start, *start.parents):
         for name in CONFIG_NAMES:
             if (p := folder / name).is_file():
-                raw = tomllib.loads(p.read_text(encoding="utf-8"))
-                raw = raw.get("tool", {}).get("girder") if name == "pyproject.toml" else raw
+                raw = _read(p)
                 if raw is not None:
                     found = from_mapping(raw)
                     break

@@ -8,6 +8,7 @@ grammar behind it: text that isn't a script gives few symbols rather than an err
 from __future__ import annotations
 
 import re
+from collections.abc import Generator
 from dataclasses import dataclass
 
 _TOKEN = re.compile(
@@ -260,30 +261,42 @@ def cyclomatic(ts: list[Token]) -> int:
     return n
 
 
+def _unwind(call: Generator) -> int:
+    """What a generator returns that yields the calls it waits for: their depth is bounded by memory alone."""
+    stack, value = [call], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
+
+
 def cognitive(ts: list[Token]) -> int:
     """Control statements weighted by their nesting, one for each else and each ``&&`` or ``||``."""
-    total, i = 0, 0
-    end = len(ts)
+    total = 0
+    closes = _closes(ts)
 
-    def run(i: int, end: int, depth: int) -> int:
-        nonlocal total
+    def run(i: int, end: int, depth: int) -> Generator:
         while i < end:
-            i = one(i, end, depth)
+            i = yield one(i, end, depth)
         return i
 
-    def statement(i: int, end: int, depth: int) -> int:
+    def statement(i: int, end: int, depth: int) -> Generator:
         """A block, or what goes up to a semicolon."""
         if _text(ts, i) == "{":
-            stop = min(end, _close(ts, i))
-            run(i + 1, stop - 1, depth)
+            stop = min(end, closes[i])
+            yield run(i + 1, stop - 1, depth)
             return stop
-        if ts[i].text in _CONTROL if i < end else False:
-            return one(i, end, depth)
+        if i < end and ts[i].text in _CONTROL:
+            return (yield one(i, end, depth))
         while i < end and ts[i].text not in (";", "}"):
-            i = one(i, end, depth)
+            i = yield one(i, end, depth)
         return i + (_text(ts, i) == ";")
 
-    def one(i: int, end: int, depth: int) -> int:
+    def one(i: int, end: int, depth: int) -> Generator:
         nonlocal total
         t = ts[i]
         if t.kind == "word" and t.text in _CONTROL and _text(ts, i - 1) not in (".", "?.") and _text(ts, i + 1) != ":":
@@ -291,18 +304,18 @@ def cognitive(ts: list[Token]) -> int:
             word, i = t.text, i + 1
             i += _text(ts, i) == "await"
             if word != "do" and _text(ts, i) == "(":
-                stop = min(end, _close(ts, i))
-                run(i + 1, stop - 1, depth + 1)
+                stop = min(end, closes[i])
+                yield run(i + 1, stop - 1, depth + 1)
                 i = stop
             if i < end:
-                i = statement(i, end, depth + 1)
+                i = yield statement(i, end, depth + 1)
             if word == "do" and _text(ts, i) == "while" and i < end:
-                stop = min(end, _close(ts, i + 1))
-                run(i + 2, stop - 1, depth + 1)
+                stop = min(end, closes.get(i + 1, i + 2))
+                yield run(i + 2, stop - 1, depth + 1)
                 i = stop
             if word == "if" and _text(ts, i) == "else" and i < end:
                 total += 1
-                i = statement(i + 1, end, depth + 1) if i + 1 < end else i + 1
+                i = (yield statement(i + 1, end, depth + 1)) if i + 1 < end else i + 1
             return i
         if t.kind == "op":
             total += t.text in ("&&", "||")
@@ -310,10 +323,21 @@ def cognitive(ts: list[Token]) -> int:
                 total += 1 + depth
         return i + 1
 
-    run(i, end, 0)
+    _unwind(run(0, len(ts), 0))
     return total
 
 
+def _closes(ts: list[Token]) -> dict[int, int]:
+    """For each opening bracket the place after the one that closes it, whatever its form; the end if none does."""
+    out, opened = {}, []
+    for i, t in enumerate(ts):
+        if t.kind == "op" and t.text in "([{":
+            opened.append(i)
+        elif t.kind == "op" and t.text in ")]}" and opened:
+            out[opened.pop()] = i + 1
+    return out | dict.fromkeys(opened, len(ts))
+
+
 def lines_of_code(source: str, commented: set[int]) -> int:
     """Lines that aren't blank and that no comment touches."""
     return sum(bool(x.strip()) and k not in commented for k, x in enumerate(source.splitlines(), 1))
@@ -322,8 +346,4 @@ def lines_of_code(source: str, commented: set[int]) -> int:
 def parse(source: str, typescript: bool = False) -> dict:
     """All of the above."""
     ts, commented = tokenize(source)
-    try:
-        deep = cognitive(ts)
-    except RecursionError:
-        deep = 0
-    return {"imports": imports(ts), "symbols": symbols(ts, typescript), "cyclomatic": cyclomatic(ts), "cognitive": deep, "parse_error": False, "loc": lines_of_code(source, commented)}
+    return {"imports": imports(ts), "symbols": symbols(ts, typescript), "cyclomatic": cyclomatic(ts), "cognitive": cognitive(ts), "parse_error": False, "loc": lines_of_code(source, commented)}

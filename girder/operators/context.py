@@ -80,16 +80,34 @@ def as_json(rows: DataFrame, key: str = "id") -> DataFrame:
     return rows.select(key, F.to_json(F.struct(*fields)).alias("json"))
 
 
-def full(measured: DataFrame, edges: DataFrame, found: DataFrame, cost: DataFrame, near: DataFrame, symbols: DataFrame, t: Thresholds | None = None) -> DataFrame:
-    """The compact row with import counts, lines of both lists, symbols and every insight."""
-    def listed(by: str, other: str, name: str) -> DataFrame:
-        items = F.array_sort(F.collect_list(F.struct(F.col(other).alias("module"), F.col("import_count").alias("count"))))
-        return edges.groupBy(F.col(by).alias("id")).agg(items.alias(name))
+def full(measured: DataFrame, edges: DataFrame, found: DataFrame, cost: DataFrame, near: DataFrame, symbols: DataFrame, t: Thresholds | None = None, report: DataFrame | None = None, churned: DataFrame | None = None) -> DataFrame:
+    """The compact row with import counts, symbols, every insight, impact and all metrics; lists are in order.
 
-    every = found.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "code", "severity"))), lambda x: F.struct(x["code"].alias("code"), x["severity"].alias("severity"))).alias("all_insights"))
-    names = symbols.groupBy(F.col("module").alias("id")).agg(F.count(F.lit(1)).alias("symbol_count"), F.array_sort(F.collect_list(F.struct("name", "kind"))).alias("symbols"))
+    Edges with ``lines`` give these too. ``report`` is the cycle report and ``churned`` the
+    churn by ``id``; without them there are no ``cycles`` and no ``git``.
+    """
+    def listed(by: str, other: str, name: str) -> DataFrame:
+        lines = [F.col("lines")] if "lines" in edges.columns else []
+        items = F.array_sort(F.collect_list(F.struct(F.col(other).alias("module"), F.col("import_count").alias("count"), *lines)))
+        return edges.groupBy(F.col(by).alias("id")).agg(items.alias(name), F.count_distinct(other).alias(f"{name}_count"))
+
+    have = [c for c in ("value", "severity") if c in found.columns]
+    every = found.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "code", *have))), lambda x: F.struct(*[x[c].alias(c) for c in ("code", *have)])).alias("all_insights"))
+    described = [c for c in ("line", "method_count", "complexity") if c in symbols.columns]
+    names = symbols.groupBy(F.col("module").alias("id")).agg(F.count(F.lit(1)).alias("symbol_count"), F.array_sort(F.collect_list(F.struct("name", "kind", *described))).alias("symbols"))
+    more = [c for c in ("rel_path", "language", "package", "raw_health", "abstractness", "distance", "centrality", "class_count", "function_count", "method_count", "parse_error") if c in measured.columns]
     rows = compact(measured, edges, found, cost, near, t=t).drop("insights", "deps", "dependents")
-    return rows.join(listed("source", "target", "dependencies"), "id", "left").join(listed("target", "source", "dependents"), "id", "left").join(every, "id", "left").join(names, "id", "left")
+    rows = rows.join(measured.select("id", *more, F.struct(F.col("direct"), F.col("transitive")).alias("impact")), "id").withColumn("threshold_profile", F.lit((t or Thresholds()).profile))
+    for part in (listed("source", "target", "dependencies"), listed("target", "source", "dependents"), every, names):
+        rows = rows.join(part, "id", "left")
+    rows = rows.fillna(0, ["dependencies_count", "dependents_count", "symbol_count"])
+    if report is not None:
+        told = F.struct("place", "path", "severity", "kind", F.struct("source", "target").alias("break_at"))
+        rings = report.select(F.explode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("id"), told.alias("c")).groupBy("id").agg(F.array_sort(F.collect_list("c")).alias("cycles"))
+        rows = rows.join(rings, "id", "left")
+    if churned is not None:
+        rows = rows.join(churned.select("id", F.struct("commits", "lines", "days", "category", "authors", "last_changed").alias("git")), "id", "left")
+    return rows
 
 
 def shared_dependencies(edges: DataFrame, ids: list) -> DataFrame:

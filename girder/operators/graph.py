@@ -344,7 +344,8 @@ def collapse(nodes: DataFrame, edges: DataFrame, max_depth: int) -> tuple[DataFr
     """Nodes and edges with names cut to ``max_depth + 1`` parts.
 
     ``nodes`` has ``name, ord`` and whatever else the first node of a name supplies; edges
-    join names. Edges that come to join a name with itself go; import counts add up.
+    join names. Edges that come to join a name with itself go; import counts add up, and of
+    ``lines``, ``is_type_only`` and ``is_deferred`` those that there are are put together.
     """
 
     def cut(name: str) -> Column:
@@ -352,8 +353,10 @@ def collapse(nodes: DataFrame, edges: DataFrame, max_depth: int) -> tuple[DataFr
 
     first = Window.partitionBy("name").orderBy("ord")
     kept = nodes.withColumn("name", cut("name")).withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
-    joined = edges.select(cut("source").alias("source"), cut("target").alias("target"), "import_count").where("source <> target")
-    return kept, joined.groupBy("source", "target").agg(F.sum("import_count").alias("import_count"))
+    made = {"import_count": F.sum("import_count"), "lines": F.array_sort(F.flatten(F.collect_list("lines"))), "is_type_only": F.bool_and("is_type_only"), "is_deferred": F.bool_and("is_deferred")}
+    have = [c for c in made if c in edges.columns]
+    joined = edges.select(cut("source").alias("source"), cut("target").alias("target"), *have).where("source <> target")
+    return kept, joined.groupBy("source", "target").agg(*[made[c].alias(c) for c in have])
 
 
 def package_of(name: str | Column) -> Column:

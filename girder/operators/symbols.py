@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 
 def registry(symbols: DataFrame) -> DataFrame:
-    """Classes and functions, each ``(module, name, kind)`` once."""
-    return symbols.where(F.col("kind") != "method").dropDuplicates(["module", "name", "kind"])
+    """Classes and functions, each ``(module, name, kind)`` once: the last by line, if lines are known."""
+    keys = ["module", "name", "kind"]
+    rest = sorted((c for c in symbols.columns if c not in keys), key=lambda c: (c != "line", c))
+    last = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in rest or keys])
+    return symbols.where(F.col("kind") != "method").withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k")
 
 
 def lookup(symbols: DataFrame, name: object, from_module: object = None) -> DataFrame:

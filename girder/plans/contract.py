@@ -69,12 +69,14 @@ _DATA = {
         when cc >= cc_moderate * f or cog >= cog_moderate * f then 'moderate' else 'healthy' end raw_health from m3"""),
     "mm": ("m4", """select *, case when role = 'test' and (case when arch_role = 'core' and raw_health in ('critical', 'high') then 'elevated' else raw_health end) in ('critical', 'high') then 'moderate'
         when arch_role = 'core' and raw_health in ('critical', 'high') then 'elevated' else raw_health end health from m4"""),
-    "cyc3": ("sgv", """select a.source x, a.target y, null::bigint z, 2 n from sgv a join sgv b on a.target = b.source and b.target = a.source where a.source < a.target
-        union all select a.source, a.target, b.target, 3 from sgv a join sgv b on a.target = b.source join sgv c on b.target = c.source and c.target = a.source
-        where a.source < a.target and a.source < b.target and a.target <> b.target"""),
-    "part3": ("cyc3", "select id, count(*) cycle_count, max(n) largest_cycle from (select unnest([x, y, z]) id, n from cyc3) where id is not null group by id"),
-    "me": ("mm part3 clv", """select mm.*, ca direct, coalesce(tr, 0) transitive, coalesce(cycle_count, 0) cycle_count, coalesce(largest_cycle, 0) largest_cycle,
-        round(instability, 3) i3, round(distance, 3) d3, round(abstractness, 3) a3 from mm left join part3 using (id)
+    "cyc4": ("sgv", """select [a.source, a.target] c from sgv a join sgv b on a.target = b.source and b.target = a.source where a.source < a.target
+        union all select [a.source, a.target, b.target] from sgv a join sgv b on a.target = b.source join sgv c on b.target = c.source and c.target = a.source
+        where a.source < a.target and a.source < b.target and a.target <> b.target
+        union all select [a.source, a.target, b.target, c.target] from sgv a join sgv b on a.target = b.source join sgv c on b.target = c.source join sgv d on c.target = d.source and d.target = a.source
+        where a.source < a.target and a.source < b.target and a.source < c.target and a.target <> b.target and a.target <> c.target and b.target <> c.target"""),
+    "part4": ("cyc4", "select id, count(*) cycle_count, max(n) largest_cycle from (select unnest(c) id, len(c) n from cyc4) group by id"),
+    "me": ("mm part4 clv", """select mm.*, ca direct, coalesce(tr, 0) transitive, coalesce(cycle_count, 0) cycle_count, coalesce(largest_cycle, 0) largest_cycle,
+        round(instability, 3) i3, round(distance, 3) d3, round(abstractness, 3) a3 from mm left join part4 using (id)
         left join (select node id, count(*) tr from clv group by 1) using (id)"""),
     "cyp": ("ng", """select [source, target] path from ng where source <> target and target > source
         union all select list_append(path, target) from cyp join ng on path[-1] = source where target > path[1] and not list_contains(path, target) and len(path) < 10"""),
@@ -579,6 +581,10 @@ def _impact(s: Star) -> DataFrame:
     return graph.reach(s.edges).groupBy(F.col("node").alias("id")).agg(F.count(F.lit(1)).alias("cascade"))
 
 
+def _cascade(measured: DataFrame) -> DataFrame:
+    return measured.where("transitive > 0").select("id", F.col("transitive").alias("cascade"))
+
+
 @query("edit_cost", "ec", "select id, files, cascade, tokens, case when files >= 10 then 'high' when files >= 5 then 'medium' else 'low' end risk from ec")
 def edit_cost(s: Star) -> DataFrame:
     return metrics.edit_cost(s.modules, s.edges, _impact(s))
@@ -608,9 +614,13 @@ def function_complexity_topk(s: Star) -> DataFrame:
 # --- insights ------------------------------------------------------------------------------
 
 
+def _short_cycles(s: Star) -> DataFrame:
+    """All cycles of two to four modules, listed once."""
+    return s.once("short-cycles", lambda: cycles.elementary_cycles(s.edges, longest=4, cap=1 << 30))
+
+
 def _measured(s: Star) -> DataFrame:
-    short = cycles.elementary_cycles(s.edges, longest=3, cap=1 << 30)
-    return context.measures(_metrics(s), graph.reach(s.edges), context.cycles_of(short))
+    return s.once("measured", lambda: context.measures(_metrics(s), graph.reach(s.edges), context.cycles_of(_short_cycles(s))))
 
 
 _CASES = (
@@ -834,16 +844,12 @@ def hotspots(s: Star) -> DataFrame:
 
 # --- contexts ------------------------------------------------------------------------------
 
-_DATA["rel"] = ("sgv cyc3", """select id, other, row_number() over (partition by id order by kind, other)::int place from (select id, other, min(kind) kind from (
+_DATA["rel"] = ("sgv cyc4", """select id, other, row_number() over (partition by id order by kind, other)::int place from (select id, other, min(kind) kind from (
     select a.source id, a.target other, 1 kind from sgv a join sgv x on x.target = a.source join sgv y on y.source = x.source and y.target = a.target where a.source <> a.target group by all having count(distinct x.source) >= 2
-    union all select a.id, b.id, 0 from (select unnest([x, y, z]) id, (x, y, z) c from cyc3) a join (select unnest([x, y, z]) id, (x, y, z) c from cyc3) b on a.c is not distinct from b.c and a.id <> b.id) group by 1, 2)
+    union all select a.id, b.id, 0 from (select unnest(c) id, c from cyc4) a join (select unnest(c) id, c from cyc4) b on a.c = b.c and a.id <> b.id) group by 1, 2)
     qualify place <= 8""")
 
 
-def _short_cycles(s: Star) -> DataFrame:
-    return cycles.elementary_cycles(s.edges, longest=3, cap=1 << 30)
-
-
 @query("related_modules", "rel", "select id, other as related, place from rel")
 def related_modules(s: Star) -> DataFrame:
     return context.related(s.edges, _short_cycles(s))
@@ -856,15 +862,15 @@ def related_modules(s: Star) -> DataFrame:
     from me join (select id, files, tokens from ec) using (id)""")
 def file_context_compact(s: Star) -> DataFrame:
     m = _measured(s)
-    rows = context.compact(m, s.edges, insights.insights(m), metrics.edit_cost(s.modules, s.edges, _impact(s)), context.related(s.edges, _short_cycles(s)))
+    rows = context.compact(m, s.edges, insights.insights(m), metrics.edit_cost(s.modules, s.edges, _cascade(m)), context.related(s.edges, _short_cycles(s)))
     lists = ("deps", "dependents", "insights", "related")
-    return rows.drop("name", *lists).join(rows.select("id", *[F.coalesce(_joined(c), F.lit("")).alias(c) for c in lists]), "id")
+    return rows.select(*[F.coalesce(_joined(c), F.lit("")).alias(c) if c in lists else c for c in rows.columns if c != "name"])
 
 
 @query("file_context_full")
 def file_context_full(s: Star) -> DataFrame:
     m = _measured(s)
-    rows = context.full(m, s.edges, insights.insights(m), metrics.edit_cost(s.modules, s.edges, _impact(s)), context.related(s.edges, _short_cycles(s)), s.symbols)
+    rows = context.full(m, s.edges, insights.insights(m), metrics.edit_cost(s.modules, s.edges, _cascade(m)), context.related(s.edges, _short_cycles(s)), s.symbols, report=cycles.report(_short_cycles(s), s.edges))
     return context.as_json(rows)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import posixpath
 import re
 from functools import cached_property
 from pathlib import Path
@@ -43,29 +44,49 @@ class Analysis:
         return self._kept(parse_files(self.files, self.scanned), "parsed")
 
     @cached_property
-    def modules(self) -> DataFrame:
+    def all_modules(self) -> DataFrame:
         stats = symbol_stats(self.parsed)
         joined = self.scanned.join(stats, "id", "left").withColumn("loc", F.coalesce("loc", "script_loc", F.lit(0))).drop("script_loc")
         return self._kept(joined.withColumn("name", F.col("id")), "modules")
 
+    @cached_property
+    def modules(self) -> DataFrame:
+        return self._graph[0]
+
     @cached_property
     def imports(self) -> DataFrame:
         aliases, base = self._aliases()
-        return self._kept(resolved_imports(self.parsed, self.modules, self.project, aliases, base), "imports")
+        top = self.settings.package_root and self._inside(Path(self.root) / self.settings.package_root)
+        return self._kept(resolved_imports(self.parsed, self.all_modules, self.project, aliases, base, top), "imports")
+
+    def _inside(self, path: Path) -> str:
+        """A path as it is seen from the root; empty for the root itself."""
+        return posixpath.relpath(path.resolve().as_posix(), Path(self.root).as_posix()).removeprefix(".").lstrip("/")
 
     def _aliases(self) -> tuple[list[tuple[str, list[str]]], str]:
-        """Path aliases of ``tsconfig.json`` at the root."""
+        """Path aliases of the settings' ``tsconfig``, else of ``tsconfig.json`` at the root; one that is asked for must be readable."""
+        path = Path(self.root) / (self.settings.tsconfig or "tsconfig.json")
         try:
-            raw = (Path(self.root) / "tsconfig.json").read_text(encoding="utf-8")
-            options = json.loads(re.sub(r"//[^\n]*", "", raw)).get("compilerOptions", {})
+            options = json.loads(re.sub(r"//[^\n]*", "", path.read_text(encoding="utf-8"))).get("compilerOptions", {})
         except (OSError, ValueError):
+            if self.settings.tsconfig:
+                raise
             return [], ""
-        base = options.get("baseUrl", "").strip("./")
-        return [(k, v) for k, v in options.get("paths", {}).items()] + ([("*", ["*"])] if base else []), base
+        base = self._inside(path.parent / options.get("baseUrl", ""))
+        return [(k, v) for k, v in options.get("paths", {}).items()] + ([("*", ["*"])] if options.get("baseUrl", "").strip("./") else []), base
+
+    @cached_property
+    def _graph(self) -> tuple[DataFrame, DataFrame]:
+        """Modules and edges; names beyond the settings' depth are one module, described by the first of them."""
+        edges = self._kept(graph.build_edges(self.imports, self.all_modules, ["seq"]), "edges")
+        if self.settings.max_depth is None:
+            return self.all_modules, edges
+        nodes, edges = graph.collapse(self.all_modules, edges, self.settings.max_depth)
+        return self._kept(nodes.withColumn("id", F.col("name")), "collapsed"), self._kept(edges, "collapsed-edges")
 
     @cached_property
     def edges(self) -> DataFrame:
-        return self._kept(graph.build_edges(self.imports, self.modules, ["seq"]), "edges")
+        return self._graph[1]
 
     @cached_property
     def reached(self) -> DataFrame:
@@ -130,7 +151,8 @@ class Analysis:
     def contexts(self, full: bool = False) -> DataFrame:
         t = self.settings.thresholds
         if full:
-            return context.full(self.measured, self.edges, self.insights, self.edit_cost(), self.related(), self.symbols, t)
+            churned = None if self.churn is None else self.modules.select("id", F.col("rel_path").alias("path")).join(self.churn, "path")
+            return context.full(self.measured, self.edges, self.insights, self.edit_cost(), self.related(), self.symbols, t, self.cycle_report, churned)
         return context.compact(self.measured, self.edges, self.insights, self.edit_cost(), self.related(), t=t)
 
     def resolve(self, asked: list[str]) -> DataFrame:
@@ -143,6 +165,11 @@ class Analysis:
     def path(self, source: str, target: str) -> DataFrame:
         return graph.shortest_paths(self.edges, self.spark.createDataFrame([(source, target)], "source string, target string"))
 
+    def violation_paths(self) -> DataFrame:
+        """The violations with the path behind each one of independence."""
+        found = self.violations()
+        return found.join(rules.independence_paths(self.edges, found), ["source", "target"], "left").withColumn("path", F.when(F.col("rule_type") == "independence", F.col("path")))
+
     def batch(self, ids: list[str]) -> DataFrame:
         return context.batch(self.edges, self.reached, ids)
 

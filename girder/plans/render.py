@@ -84,10 +84,16 @@ def cycle_text(a: Analysis) -> str:
     return "".join(f"{r.kind} {r.severity}: {' → '.join(r.path)}\n  break at {r.source} → {r.target}\n" for r in rows)
 
 
-def impact_text(a: Analysis, module: str) -> str:
+def impact(a: Analysis, module: str) -> dict:
+    """Who imports a module, directly or through others."""
     direct = sorted(r[0] for r in a.edges.where(a.edges["target"] == module).select("source").distinct().collect())
     far = sorted({r[0] for r in a.reached.where(a.reached["node"] == module).select("seed").collect()} - {*direct, module})
-    return "\n".join([f"{module}: {len(direct) + len(far)} modules affected", *(f"  direct {d}" for d in direct), *(f"  transitive {d}" for d in far)]) + "\n"
+    return {"module": module, "direct": direct, "transitive": far, "total": len(direct) + len(far)}
+
+
+def impact_text(a: Analysis, module: str) -> str:
+    got = impact(a, module)
+    return "\n".join([f"{module}: {got['total']} modules affected", *(f"  direct {d}" for d in got["direct"]), *(f"  transitive {d}" for d in got["transitive"])]) + "\n"
 
 
 def dot(a: Analysis, clusters: bool = True, rankdir: str = "LR") -> str:

@@ -21,15 +21,15 @@ def is_repository(root: str) -> bool:
 
 
 def read_log(spark: SparkSession, root: str, days: int = 90) -> DataFrame | None:
-    """``line_no, line`` of the log of the last ``days``; None where there is no repository."""
-    if not is_repository(root):
-        return None
-    try:
-        said = subprocess.run(["git", "log", f"--since={days} days ago", f"--format={FORMAT}", "--numstat", "--diff-filter=ACDMR", "--no-merges"], cwd=root, capture_output=True, text=True, timeout=30)
-    except (OSError, subprocess.TimeoutExpired):
+    """``line_no, line`` of the log of the last ``days``; None where there is no repository or no commit.
+
+    A log that git can't give is an error, not an empty history.
+    """
+    if not is_repository(root) or subprocess.run(["git", "rev-parse", "--verify", "-q", "HEAD"], cwd=root, capture_output=True).returncode:
         return None
+    said = subprocess.run(["git", "log", f"--since={days} days ago", f"--format={FORMAT}", "--numstat", "--diff-filter=ACDMR", "--no-merges"], cwd=root, capture_output=True, text=True, errors="replace")
     if said.returncode:
-        return None
+        raise RuntimeError(f"git log failed in {root}: {said.stderr.strip()}")
     return spark.createDataFrame(list(enumerate(said.stdout.splitlines())), "line_no long, line string")
 
 

@@ -6,6 +6,7 @@ from a supplier to the next one on the same order, parts are symbols, events are
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -47,6 +48,13 @@ class Star:
         """Written once: the iterative operators read a graph many times."""
         return materialize(df, label)[0]
 
+    def once(self, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that several parts of one query read, computed when first asked for."""
+        held = vars(self).setdefault("_held", {})
+        if label not in held:
+            held[label] = self._kept(make(), label)
+        return held[label]
+
     def _top(self, pairs: DataFrame, keep: str) -> DataFrame:
         best = Window.partitionBy("source").orderBy(F.desc("import_count"), "target")
         return pairs.withColumn("_k", F.row_number().over(best)).where(f"_k <= {keep}").drop("_k")

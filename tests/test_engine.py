@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import subprocess
+from dataclasses import replace
 
 import pytest
 
 from girder import cli
-from girder.config import Rules, Settings
+from girder.config import Rules, Settings, from_mapping
 from girder.plans import render
 from girder.plans.engine import Analysis
 
@@ -134,6 +135,43 @@ def test_scripts_and_aliases(spark, tmp_path):
     assert any(s == "ts:src.alias" and t.endswith("utils.math") for s, t in edges)
 
 
+def test_depth_joins_names(spark, project):
+    a = Analysis(spark, str(project), Settings(max_depth=1))
+    assert {r.id for r in a.modules.collect()} == {"myproject", "myproject.utils", "myproject.core", "myproject.api"}
+    (edge,) = a.edges.collect()
+    assert (edge.source, edge.target) == ("myproject.api", "myproject.core") and len(edge.lines) == edge.import_count > 3
+    assert a.metrics.count() == 4 and "myproject.core.models" not in render.dot(a)
+
+
+def test_tsconfig_elsewhere(spark, tmp_path):
+    root = write(tmp_path / "web", {"app/lib/math.ts": "export const sub = 1;\n", "app/main.ts": "import { sub } from '@lib/math';\nimport x from '/lib/math';\n", "app/tsconfig.json": '{"compilerOptions": {"paths": {"@lib/*": ["lib/*"]}}}'})
+    settings = Settings(languages=("typescript",))
+    assert Analysis(spark, str(root), settings).edges.isEmpty()
+    told = replace(settings, tsconfig="app/tsconfig.json")
+    (edge,) = Analysis(spark, str(root), told).edges.collect()
+    assert edge.import_count == 1
+    (edge,) = Analysis(spark, str(root), replace(told, package_root="app")).edges.collect()
+    assert edge.import_count == 2
+    with pytest.raises(OSError):
+        Analysis(spark, str(root), replace(settings, tsconfig="none.json")).edges.isEmpty()
+
+
+def test_settings_of_languages_and_depth():
+    got = from_mapping({"scan": {"language": {"typescript": {"tsconfig": "a.json", "package_root": "src"}}}, "analysis": {"max_depth": 2}, "thresholds": {"token_ratios": {"python": 3.5}}})
+    assert (got.tsconfig, got.package_root, got.max_depth, got.thresholds.ratio_python) == ("a.json", "src", 2, 3.5)
+
+
+def test_full_context_tells_cycles_lines_and_paths(spark, tmp_path):
+    root = write(tmp_path / "ring", {"__init__.py": "", "a.py": "from . import b\n", "b.py": "from . import c\n", "c.py": "from . import a\n", "d.py": "from . import a\n"})
+    a = Analysis(spark, str(root), Settings(rules=Rules(independence=(("ring.d", "ring.c"),))))
+    row = {r.id: r for r in a.contexts(full=True).collect()}["ring.a"]
+    assert row.cycles[0].severity == "low" and row.cycles[0].break_at.source in {"ring.a", "ring.b", "ring.c"}
+    assert row.dependents[0].module == "ring.c" and row.dependents[0].lines == [1] and row.dependents_count == 2
+    assert row.impact.transitive == 4 and row.threshold_profile == "default" and row.rel_path == "a.py"
+    (bad,) = a.violation_paths().collect()
+    assert list(bad.path) == ["ring.d", "ring.a", "ring.b", "ring.c"]
+
+
 def test_history(spark, tmp_path):
     root = write(tmp_path / "g", {"a.py": "def f(x):\n    if x: pass\n"})
     env = ["git", "-c", "user.name=A", "-c", "user.email=a@b.c", "-C", str(root)]
@@ -156,6 +194,11 @@ def test_command_line(spark, project, tmp_path, capsys):
     assert cli.main(["analyze", str(project), "-f", "dot", "-o", str(tmp_path / "out")]) == 0 and (tmp_path / "out.dot").exists()
     (project / "girder.toml").write_text('[[rules.forbidden]]\nfrom = "myproject.api"\nto = ["myproject.core"]\n')
     assert cli.main(["check", str(project)]) == 1
+    (tmp_path / "none.toml").write_text("")
+    assert cli.main(["check", str(project), "--config", str(tmp_path / "none.toml")]) == 0
+    capsys.readouterr()
+    assert cli.main(["impact", str(project), "core/models.py", "--json"]) == 0 and json.loads(capsys.readouterr().out)["total"] == 2
+    assert cli.main(["analyze", str(project), "--max-depth", "1", "-f", "json", "--exclude", "zz*", "yy*"]) == 0 and len(json.loads(capsys.readouterr().out)["nodes"]) == 4
 
 
 def test_watch(spark, tmp_path):

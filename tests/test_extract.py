@@ -140,3 +140,9 @@ def test_framework_decorators_of_the_scan_table():
     assert from_mapping({"scan": {"framework_decorators": {"add": ["x"]}}}).decorators == (*FRAMEWORK_DECORATORS, "x")
     assert from_mapping({"symbols": {"framework_decorators": {"replace": ["y"]}}}).decorators == ("y",)
     assert from_mapping({}).decorators == FRAMEWORK_DECORATORS
+
+
+def test_deep_nesting_is_counted():
+    n = 3000
+    got = script_source.parse("if (a) { " * n + "}" * n)
+    assert got["cyclomatic"] == n + 1 and got["cognitive"] == n * (n + 1) // 2
