@@ -36,6 +36,7 @@ def _parser() -> argparse.ArgumentParser:
     c = command("context", "what to know before changing files")
     c.add_argument("files", nargs="+")
     c.add_argument("--full", action="store_true")
+    c.add_argument("--text", action="store_true", help="a module's facts as text")
     c = command("show", "write the graph as a page")
     c.add_argument("-o", "--output", default="graph.html")
     c.add_argument("--max-depth", type=int)
@@ -101,10 +102,12 @@ def run(args: argparse.Namespace) -> tuple[int, str]:
         if missing and not ids:
             near = [r.id for r in a.find(Path(missing[0]).stem).limit(10).collect()]
             return 1, "not found: " + ", ".join(missing) + "".join(f"\n  {n}" for n in near) + "\n"
-        if len(ids) == 1:
+        if len(args.files) == 1:
+            if args.text:
+                return 0, render.module_text(a, ids[0])
             rows = a.contexts(args.full)
             return 0, _rows(rows.where(rows["id"] == ids[0]))
-        return 0, _rows(a.batch(ids).orderBy("id"))
+        return 0, _one(render.briefing(a, args.files))
     if args.command == "check":
         rows = a.violation_paths().orderBy("rule_ord", "source", "target")
         bad = not rows.isEmpty() or args.no_cycles and not a.cycles.isEmpty()

@@ -30,6 +30,11 @@ def lookup(symbols: DataFrame, name: object, from_module: object = None) -> Data
     return own.withColumn("_any", any_own).where(~F.col("_any") | F.col("_own")).drop("_own", "_any")
 
 
+def by_id(symbols: DataFrame, module: object, name: object, kind: object) -> DataFrame:
+    """The one symbol that module, name and kind mean, if there is one."""
+    return registry(symbols).where((F.col("module") == module) & (F.col("name") == name) & (F.col("kind") == kind))
+
+
 def module_symbols(symbols: DataFrame, module: object) -> DataFrame:
     return registry(symbols).where(F.col("module") == module)
 

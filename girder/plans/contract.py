@@ -412,7 +412,7 @@ join x st on st.s = a.s and st.v = b.v and a.dist + b.dist = st.dist where a.s <
 @query("graph_collapse", "ne", """select a source, b target, sum(import_count)::bigint import_count from (select array_to_string(string_split(source, '.')[1:2], '.') a, array_to_string(string_split(target, '.')[1:2], '.') b, import_count from ne)
     where a <> b group by all""")
 def graph_collapse(s: Star) -> DataFrame:
-    return graph.collapse(s.nodes.withColumn("ord", F.col("id")), s.named_edges, 1)[1]
+    return graph.collapse(s.nodes.withColumn("ord", F.col("id")), s.named_edges, 1)[1].select("source", "target", "import_count")
 
 
 @query("graph_collapse_nodes", "nd st", """select name, id, loc from (select array_to_string(string_split(name, '.')[1:2], '.') as name, id, loc from nd join st using (id)) qualify row_number() over (partition by name order by id) = 1""")

@@ -6,9 +6,15 @@ import hashlib
 import html
 import json
 
+from pyspark.sql import functions as F
+
+from girder.operators import context, symbols
+from girder.operators.insights import risk
 from girder.operators.metrics import sort_metrics
 from girder.plans.engine import Analysis
 
+#: Lines that are shown of a dependency (fixed value).
+SHOWN_LINES = 5
 _COLORS = {"healthy": "#2da44e", "critical": "#cf222e"}
 
 
@@ -96,6 +102,57 @@ def impact_text(a: Analysis, module: str) -> str:
     return "\n".join([f"{module}: {got['total']} modules affected", *(f"  direct {d}" for d in got["direct"]), *(f"  transitive {d}" for d in got["transitive"])]) + "\n"
 
 
+def briefing(a: Analysis, asked: list[str]) -> dict:
+    """What to know before changing several files together; names that mean no module are told apart."""
+    found = {r.asked: r.id for r in a.resolve(asked).collect()}
+    ids = list(dict.fromkeys(found[x] for x in asked if found.get(x)))
+    missing = [x for x in asked if not found.get(x)]
+    if not ids:
+        return {"error": "no module found", "not_found": missing}
+    rows = {r.id: r for r in a.measured.where(a.measured["id"].isin(ids)).withColumn("risk", risk(a.settings.thresholds)).collect()}
+    touched = a.batch(ids).agg(*[F.count_if(f"is_{h}").alias(h) for h in ("dependency", "dependent", "transitive")]).first()
+    shared = context.shared_dependencies(a.edges, ids).join(a.modules.select("id", "rel_path"), "id").orderBy("rel_path").collect() if len(ids) > 1 else []
+    own = F.array(*map(F.lit, ids))
+    rings = [r.path for r in a.cycle_report.where(F.arrays_overlap("path", own)).orderBy("place").collect()]
+    bad = a.violations()
+    broken = [f"{r.rule_type}: {r.source} -> {r.target} ({r.rule})" for r in bad.where(bad["source"].isin(ids) | bad["target"].isin(ids)).orderBy("rule_ord", "source", "target").collect()]
+    got = {
+        "files": [{"file": r.rel_path, "module": r.id, "health": r.health, "cc": r.cc, "risk": r.risk or ""} for r in (rows[i] for i in ids)],
+        "combined_blast_radius": touched.transitive,
+        "shared_dependencies": [r.rel_path for r in shared],
+        "total_unique_dependencies": touched.dependency,
+        "total_unique_dependents": touched.dependent,
+    }
+    return got | {name: value for name, value in (("cycle_warnings", rings), ("violations", broken), ("not_found", missing)) if value}
+
+
+def module_text(a: Analysis, module: str) -> str:
+    """One module: where it is, its metrics, what it imports on which lines, who imports it."""
+    m = a.metrics.where(a.metrics["id"] == module).first()
+    if m is None:
+        return f"no module {module}\n"
+    out = a.edges.where(a.edges["source"] == module).orderBy("target").collect()
+    into = a.edges.where(a.edges["target"] == module).orderBy("source").collect()
+    facts = [("file", m.rel_path), ("package", m.package), ("is package", m.is_package), ("lines", m.loc), ("depth", module.count(".")), ("language", m.language)]
+    facts += [("ca", m.ca), ("ce", m.ce), ("instability", f"{m.instability:.3f}"), ("cyclomatic", m.cc), ("cognitive", m.cog), ("abstractness", f"{m.abstractness:.3f}"), ("distance", f"{m.distance:.3f}"), ("health", m.health)]
+    lines = [module, *(f"  {name:<13}{value}" for name, value in facts), f"dependencies: {len(out)}"]
+    lines += [f"  -> {e.target} (lines {', '.join(map(str, e.lines[:SHOWN_LINES]))})" for e in out]
+    return "\n".join([*lines, f"dependents: {len(into)}", *(f"  <- {e.source}" for e in into)]) + "\n"
+
+
+def symbol_graph(a: Analysis) -> dict:
+    """Counts, hotspots and references of symbols, with the lines of each reference."""
+    made = a.references.where("kind is not null")
+    edges = made.groupBy("source", "target", "name").agg(F.array_sort(F.collect_list("line")).alias("lines")).orderBy("source", "target", "name").collect()
+    hot = a.symbol_hotspots(2).orderBy(F.desc("usage"), "module", "name").collect()
+    return {
+        "total_symbols": symbols.registry(a.symbols).count(),
+        "total_references": len(edges),
+        "hotspots": [{"symbol": f"{r.module}.{r.name}", "usage_count": r.usage} for r in hot],
+        "edges": [{"from": r.source, "to": f"{r.target}.{r.name}", "lines": r.lines} for r in edges],
+    }
+
+
 def dot(a: Analysis, clusters: bool = True, rankdir: str = "LR") -> str:
     """GraphViz: packages as clusters, edges of cycles red, labels where there is more than one import."""
     red = {(x, y) for r in a.cycles.collect() for x, y in zip(r.path, r.path[1:], strict=False)}

@@ -11,6 +11,7 @@ import pytest
 from girder import cli
 from girder.config import Rules, Settings, from_mapping
 from girder.plans import render
+from girder.operators.symbols import by_id
 from girder.plans.engine import Analysis
 
 TREE = {
@@ -80,6 +81,9 @@ def test_symbols(analysis):
     assert used == {("myproject.core.engine", "Engine"): 2}
     assert {r.name for r in analysis.unused().collect()} == {"User", "format_name"}
     assert {r.importer for r in analysis.symbol_impact("Engine").collect()} == {"myproject.api.views"}
+    got = render.symbol_graph(analysis)
+    assert got["hotspots"] == [{"symbol": "myproject.core.engine.Engine", "usage_count": 2}] and "myproject.core.engine.Engine" in {e["to"] for e in got["edges"]}
+    assert by_id(analysis.symbols, "myproject.core.models", "User", "class").count() == 1
 
 
 def test_resolve_find_and_path(analysis, project):
@@ -168,6 +172,13 @@ def test_full_context_tells_cycles_lines_and_paths(spark, tmp_path):
     assert row.cycles[0].severity == "low" and row.cycles[0].break_at.source in {"ring.a", "ring.b", "ring.c"}
     assert row.dependents[0].module == "ring.c" and row.dependents[0].lines == [1] and row.dependents_count == 2
     assert row.impact.transitive == 4 and row.threshold_profile == "default" and row.rel_path == "a.py"
+    got = render.briefing(a, ["a.py", "ring.d", "nothing.py"])
+    assert [f["module"] for f in got["files"]] == ["ring.a", "ring.d"] and got["not_found"] == ["nothing.py"]
+    assert got["cycle_warnings"] == [["ring.a", "ring.b", "ring.c", "ring.a"]] and len(got["violations"]) == 1
+    assert (got["combined_blast_radius"], got["total_unique_dependents"]) == (2, 1) and len(got["shared_dependencies"]) == 1
+    assert render.briefing(a, ["x.py"]) == {"error": "no module found", "not_found": ["x.py"]}
+    assert "-> ring.b (lines 1)" in render.module_text(a, "ring.a") and "<- ring.d" in render.module_text(a, "ring.a")
+    assert render.module_text(a, "none") == "no module none\n" and render.symbol_graph(a)["total_symbols"] == 0
     (bad,) = a.violation_paths().collect()
     assert list(bad.path) == ["ring.d", "ring.a", "ring.b", "ring.c"]
 
