@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from girder.config import Thresholds
@@ -56,10 +56,11 @@ def _listed(edges: DataFrame, by: str, other: str, name: str) -> DataFrame:
     return edges.select(F.col(by).alias("id"), F.col(other).alias("x")).distinct().groupBy("id").agg(F.array_sort(F.collect_list("x")).alias(name))
 
 
-def compact(measured: DataFrame, edges: DataFrame, found: DataFrame, cost: DataFrame, near: DataFrame, churned: DataFrame | None = None, t: Thresholds | None = None) -> DataFrame:
+def compact(measured: DataFrame, edges: DataFrame, found: DataFrame, cost: DataFrame, near: DataFrame, churned: DataFrame | None = None, t: Thresholds | None = None, report: DataFrame | None = None) -> DataFrame:
     """One row for each module with what a reader needs first.
 
-    ``found`` has the insights, ``cost`` the edit cost, ``near`` the related modules.
+    ``found`` has the insights, ``cost`` the edit cost, ``near`` the related modules. With
+    ``churned`` (by ``id``) there is ``churn``, with the cycle report ``cycles`` of path and kind.
     """
     top = found.where(F.col("place") <= TOP_INSIGHTS).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "code"))), lambda x: x["code"]).alias("insights"))
     beside = near.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "related"))), lambda x: x["related"]).alias("related"))
@@ -71,7 +72,15 @@ def compact(measured: DataFrame, edges: DataFrame, found: DataFrame, cost: DataF
         rows = rows.join(churned.select("id", F.col("category").alias("churn")), "id", "left")
     rows = rows.withColumn("risk", risk(t)).withColumn("transitive_impact", F.col("transitive"))
     keep = ["id", "name", "loc", "role", "arch_role", "health", "cc", "cog", "ca", "ce", F.round("instability", 3).alias("instability"), "deps", "dependents", "transitive_impact", "edit_files", "edit_tokens", "edit_risk", "insights", "risk", "related"]
-    return rows.select(*keep, *(["churn"] if churned is not None else []))
+    if report is not None:
+        rows = rows.join(_cycles_by_member(report, "path", "kind"), "id", "left")
+    return rows.select(*keep, *(["churn"] if churned is not None else []), *(["cycles"] if report is not None else []))
+
+
+def _cycles_by_member(report: DataFrame, *told: str | Column) -> DataFrame:
+    """``id, cycles``: the cycles of each module, in the report's order."""
+    member = report.select(F.explode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("id"), F.struct("place", *told).alias("c"))
+    return member.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("c")), lambda x: x.dropFields("place")).alias("cycles"))
 
 
 def as_json(rows: DataFrame, key: str = "id") -> DataFrame:
@@ -83,15 +92,15 @@ def as_json(rows: DataFrame, key: str = "id") -> DataFrame:
 def full(measured: DataFrame, edges: DataFrame, found: DataFrame, cost: DataFrame, near: DataFrame, symbols: DataFrame, t: Thresholds | None = None, report: DataFrame | None = None, churned: DataFrame | None = None) -> DataFrame:
     """The compact row with import counts, symbols, every insight, impact and all metrics; lists are in order.
 
-    Edges with ``lines`` give these too. ``report`` is the cycle report and ``churned`` the
+    Edges with ``lines`` and flags give these too. ``report`` is the cycle report and ``churned`` the
     churn by ``id``; without them there are no ``cycles`` and no ``git``.
     """
     def listed(by: str, other: str, name: str) -> DataFrame:
-        lines = [F.col("lines")] if "lines" in edges.columns else []
-        items = F.array_sort(F.collect_list(F.struct(F.col(other).alias("module"), F.col("import_count").alias("count"), *lines)))
+        extra = [c for c in ("lines", "is_type_only", "is_deferred") if c in edges.columns]
+        items = F.array_sort(F.collect_list(F.struct(F.col(other).alias("module"), F.col("import_count").alias("count"), *extra)))
         return edges.groupBy(F.col(by).alias("id")).agg(items.alias(name), F.count_distinct(other).alias(f"{name}_count"))
 
-    have = [c for c in ("value", "severity") if c in found.columns]
+    have = [c for c in ("value", "severity", "detail") if c in found.columns]
     every = found.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "code", *have))), lambda x: F.struct(*[x[c].alias(c) for c in ("code", *have)])).alias("all_insights"))
     described = [c for c in ("line", "method_count", "complexity") if c in symbols.columns]
     names = symbols.groupBy(F.col("module").alias("id")).agg(F.count(F.lit(1)).alias("symbol_count"), F.array_sort(F.collect_list(F.struct("name", "kind", *described))).alias("symbols"))
@@ -102,9 +111,7 @@ def full(measured: DataFrame, edges: DataFrame, found: DataFrame, cost: DataFram
         rows = rows.join(part, "id", "left")
     rows = rows.fillna(0, ["dependencies_count", "dependents_count", "symbol_count"])
     if report is not None:
-        told = F.struct("place", "path", "severity", "kind", F.struct("source", "target").alias("break_at"))
-        rings = report.select(F.explode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("id"), told.alias("c")).groupBy("id").agg(F.array_sort(F.collect_list("c")).alias("cycles"))
-        rows = rows.join(rings, "id", "left")
+        rows = rows.join(_cycles_by_member(report, "path", "severity", "kind", F.struct("source", "target").alias("break_at")), "id", "left")
     if churned is not None:
         rows = rows.join(churned.select("id", F.struct("commits", "lines", "days", "category", "authors", "last_changed").alias("git")), "id", "left")
     return rows

@@ -20,6 +20,31 @@ CORE_REWRITE = {
     "high_afferent": "", "high_cyclomatic": "core_high_cc", "high_cognitive": "core_high_cog",
 }
 RANK = {"critical": 2, "warning": 1, "info": 0}
+# What is said of each code: a pattern and the columns that fill it (fixed values).
+_ZONE = ("value", "abstractness", "instability")
+DETAIL = {
+    "high_instability": ("I=%.2f: high outgoing vs incoming dependencies", "value"),
+    "highly_stable": ("I=%.2f: many dependents, changes here propagate widely", "value"),
+    "high_efferent": ("Ce=%d: depends on %d modules", "n", "n"),
+    "high_afferent": ("Ca=%d: %d modules depend on this", "n", "n"),
+    "isolated": ("no internal dependencies or dependents",),
+    "extreme_cyclomatic": ("CC=%d: very high decision branch count", "n"),
+    "high_cyclomatic": ("CC=%d: elevated decision branch count", "n"),
+    "extreme_cognitive": ("CogC=%d: deeply nested control flow", "n"),
+    "high_cognitive": ("CogC=%d: moderately nested control flow", "n"),
+    "very_large_module": ("LOC=%d: large module", "n"),
+    "large_module": ("LOC=%d: above-average module size", "n"),
+    "critical_blast_radius": ("%d modules directly depend on this", "n"),
+    "high_blast_radius": ("%d modules directly depend on this", "n"),
+    "wide_transitive_reach": ("%d modules transitively affected (vs %d direct)", "n", "limit"),
+    "in_cycle": ("involved in %d cycle(s), largest has %d modules", "n", "largest_cycle"),
+    "high_fan_out": ("imports %d modules: high coordination surface", "n"),
+    "parse_failed": ("AST parse failed (LOC=%d): all metrics unreliable", "n"),
+    "core_module": ("D=%.2f: concrete (A=%.2f) + stable (I=%.2f) — core architectural component", *_ZONE),
+    "zone_of_pain": ("D=%.2f: concrete (A=%.2f) + stable (I=%.2f) — rigid, hard to extend", *_ZONE),
+    "zone_of_uselessness": ("D=%.2f: abstract (A=%.2f) + unstable (I=%.2f) — possibly unused abstractions", *_ZONE),
+    "well_balanced": ("D=%.2f: on the main sequence (A=%.2f, I=%.2f)", *_ZONE),
+}
 
 
 def rank(severity: Column) -> Column:
@@ -78,6 +103,19 @@ def insights(modules: DataFrame, t: Thresholds | None = None) -> DataFrame:
     return _placed(rows)
 
 
+def described(found: DataFrame, modules: DataFrame) -> DataFrame:
+    """The insights with ``detail``, a sentence with the numbers behind each; halves are rounded up.
+
+    To be called before :func:`rewrite_for_core`, which keeps the sentence.
+    """
+    about = modules.select("id", F.col("largest_cycle").cast("long").alias("largest_cycle"), F.round("abstractness", 3).alias("abstractness"), F.round("instability", 3).alias("instability"))
+    rows = found.join(about, "id").withColumn("n", F.col("value").cast("long")).withColumn("limit", F.col("threshold").cast("long"))
+    said = F.lit(None).cast("string")
+    for code, (pattern, *fills) in DETAIL.items():
+        said = F.when(F.col("code") == code, F.format_string(pattern, *fills) if fills else F.lit(pattern)).otherwise(said)
+    return rows.select(*found.columns, said.alias("detail"))
+
+
 def _placed(rows: DataFrame) -> DataFrame:
     place = Window.partitionBy("id").orderBy(rank(F.col("severity")).desc(), "_at")
     return rows.withColumn("place", F.row_number().over(place)).drop("_at")

@@ -111,7 +111,7 @@ class Analysis:
 
     @cached_property
     def insights(self) -> DataFrame:
-        found = insights.insights(self.measured, self.settings.thresholds)
+        found = insights.described(insights.insights(self.measured, self.settings.thresholds), self.measured)
         core = self.metrics.where("arch_role = 'core'").select("id")
         return self._kept(found.join(core, "id", "left_anti").unionByName(insights.rewrite_for_core(found.join(core, "id", "left_semi"))), "insights")
 
@@ -150,10 +150,11 @@ class Analysis:
 
     def contexts(self, full: bool = False) -> DataFrame:
         t = self.settings.thresholds
+        churned = None if self.churn is None else self.modules.select("id", F.col("rel_path").alias("path")).join(self.churn, "path")
         if full:
-            churned = None if self.churn is None else self.modules.select("id", F.col("rel_path").alias("path")).join(self.churn, "path")
             return context.full(self.measured, self.edges, self.insights, self.edit_cost(), self.related(), self.symbols, t, self.cycle_report, churned)
-        return context.compact(self.measured, self.edges, self.insights, self.edit_cost(), self.related(), t=t)
+        rows = context.compact(self.measured, self.edges, self.insights, self.edit_cost(), self.related(), churned, t, self.cycle_report)
+        return rows.join(self.metrics.select("id", F.col("rel_path").alias("file"), F.when(F.col("parse_error"), F.lit(True)).alias("parse_error")), "id")
 
     def resolve(self, asked: list[str]) -> DataFrame:
         given = self.spark.createDataFrame([(a,) for a in asked], "asked string")

@@ -30,11 +30,7 @@ def as_dict(a: Analysis) -> dict:
     for e in edges:
         out.setdefault(e.source, []).append(e.target)
         into.setdefault(e.target, []).append(e.source)
-    ring: dict[str, int] = {}
     cycles = a.cycle_report.orderBy("place").collect()
-    for c in cycles:
-        for m in c.path[:-1]:
-            ring[m] = ring.get(m, 0) + 1
     nodes = [
         {"id": m.id, "file": m.rel_path, "package": m.package, "loc": m.loc, "language": m.language, "dependencies": sorted(out.get(m.id, [])), "dependents": sorted(into.get(m.id, [])), "metrics": _shown(m)}
         for m in a.metrics.orderBy("id").collect()
@@ -46,7 +42,7 @@ def as_dict(a: Analysis) -> dict:
         "edges": [{"source": e.source, "target": e.target, "count": e.import_count} for e in edges],
         "metrics": project | {"avg_instability": round(project["avg_instability"] or 0, 3)},
         "cycles": [{"path": c.path, "length": c.length, "kind": c.kind, "severity": c.severity, "break_at": f"{c.source} → {c.target}"} for c in cycles],
-        "participation": dict(sorted(ring.items(), key=lambda x: (-x[1], x[0]))),
+        "participation": _participation(cycles),
     }
 
 
@@ -84,10 +80,28 @@ def tree(a: Analysis) -> str:
 
 
 def cycle_text(a: Analysis) -> str:
+    """The cycles in the report's order, then how many each module is in."""
     rows = a.cycle_report.orderBy("place").collect()
     if not rows:
         return "no cycles\n"
-    return "".join(f"{r.kind} {r.severity}: {' → '.join(r.path)}\n  break at {r.source} → {r.target}\n" for r in rows)
+    told = "".join(f"{r.kind} {r.severity}: {' → '.join(r.path)}\n  break at {r.source} → {r.target}\n" for r in rows)
+    return told + "participation\n" + "".join(f"  {m}: in {n} cycle(s)\n" for m, n in _participation(rows).items())
+
+
+def _participation(rows: list) -> dict[str, int]:
+    ring: dict[str, int] = {}
+    for r in rows:
+        for m in r.path[:-1]:
+            ring[m] = ring.get(m, 0) + 1
+    return dict(sorted(ring.items(), key=lambda x: (-x[1], x[0])))
+
+
+def as_cycles(a: Analysis) -> dict:
+    """Cycles and participation with the paths of files in place of module names."""
+    rows = a.cycle_report.orderBy("place").collect()
+    files = {r.id: r.rel_path for r in a.modules.select("id", "rel_path").collect()} if rows else {}
+    cycles = [{"path": [files[m] for m in r.path], "length": r.length, "severity": r.severity, "kind": r.kind, "break_at": [files[r.source], files[r.target]]} for r in rows]
+    return {"cycles": cycles, "participation": {files[m]: n for m, n in _participation(rows).items()}}
 
 
 def impact(a: Analysis, module: str) -> dict:
@@ -153,20 +167,30 @@ def symbol_graph(a: Analysis) -> dict:
     }
 
 
-def dot(a: Analysis, clusters: bool = True, rankdir: str = "LR") -> str:
-    """GraphViz: packages as clusters, edges of cycles red, labels where there is more than one import."""
+def _hue(package: str) -> float:
+    """One hue for all packages that share their first two names."""
+    return int(hashlib.md5(".".join(package.split(".")[:2]).encode()).hexdigest()[:4], 16) / 65535
+
+
+def dot(a: Analysis, clusters: bool = True, rankdir: str = "LR", colored: bool = True, concentrate: bool = True) -> str:
+    """GraphViz: packages as clusters, edges of cycles red, labels where there is more than one import.
+
+    ``colored`` fills modules by their health, grey between the two ends; ``concentrate``
+    lets GraphViz merge edges that run together.
+    """
     red = {(x, y) for r in a.cycles.collect() for x, y in zip(r.path, r.path[1:], strict=False)}
     groups: dict[str, list] = {}
     for m in a.metrics.orderBy("id").collect():
         groups.setdefault(m.package if clusters else "", []).append(m)
-    out = ["digraph modules {", f"  rankdir={rankdir};", "  node [shape=box, style=filled];"]
+    out = ["digraph modules {", f"  rankdir={rankdir};", f"  concentrate={str(concentrate).lower()};", "  node [shape=box, style=filled];"]
     for k, (package, rows) in enumerate(sorted(groups.items())):
         pad = "  "
         if package:
-            hue = int(hashlib.md5(".".join(package.split(".")[:2]).encode()).hexdigest()[:4], 16) / 65535
-            out += [f"  subgraph cluster_{k} {{", f'    label="{package}"; color="{hue:.3f} 0.3 0.8";']
+            out += [f"  subgraph cluster_{k} {{", f'    label="{package}"; color="{_hue(package):.3f} 0.3 0.8";']
             pad = "    "
-        out += [f'{pad}"{m.id}" [fillcolor="{_COLORS.get(m.health, "#d0d7de")}"];' for m in rows]
+        for m in rows:
+            fill = _COLORS.get(m.health, "#d0d7de") if colored else "#ffffff"
+            out.append(f'{pad}"{m.id}" [label="{m.id.split(".")[-1]}\\n({m.ca}/{m.ce})", tooltip="{m.id}\\n{m.rel_path}\\n{m.language}, {m.loc} lines", fillcolor="{fill}"];')
         out += ["  }"] if package else []
     for e in _edges(a):
         marks = (["color=red"] if (e.source, e.target) in red else []) + ([f'label="{e.import_count}"'] if e.import_count > 1 else [])
@@ -175,20 +199,39 @@ def dot(a: Analysis, clusters: bool = True, rankdir: str = "LR") -> str:
 
 
 _PAGE = """<!doctype html><html><head><meta charset="utf-8"><title>{title}</title><style>
-body{{margin:0;font:13px sans-serif}}svg{{width:100vw;height:92vh}}line{{stroke:#bbb}}line.on{{stroke:#cf222e}}circle{{fill:#58a;cursor:pointer}}circle.off{{opacity:.15}}#t{{padding:6px}}
-</style></head><body><div id="t"><b>{title}</b> {n} modules, {cycles} cycles <input id="q" placeholder="search"> <span id="d"></span></div><svg id="g"></svg><script>
-const data={data};const svg=document.getElementById('g'),W=svg.clientWidth,H=svg.clientHeight,ns='http://www.w3.org/2000/svg',at={{}};
-data.nodes.forEach((n,i)=>{{const a=2*Math.PI*i/data.nodes.length;n.x=W/2+W*.4*Math.cos(a);n.y=H/2+H*.42*Math.sin(a);at[n.id]=n}});
-data.links.forEach(l=>{{const e=document.createElementNS(ns,'line'),s=at[l.source],t=at[l.target];e.setAttribute('x1',s.x);e.setAttribute('y1',s.y);e.setAttribute('x2',t.x);e.setAttribute('y2',t.y);l.e=e;svg.append(e)}});
-data.nodes.forEach(n=>{{const e=document.createElementNS(ns,'circle');e.setAttribute('cx',n.x);e.setAttribute('cy',n.y);e.setAttribute('r',n.radius);n.e=e;svg.append(e);
-e.onclick=()=>{{document.getElementById('d').textContent=n.id+' ca '+n.ca+' ce '+n.ce+' '+n.health;data.links.forEach(l=>l.e.classList.toggle('on',l.source===n.id||l.target===n.id))}}}});
-document.getElementById('q').oninput=e=>data.nodes.forEach(n=>n.e.classList.toggle('off',!n.id.toLowerCase().includes(e.target.value.toLowerCase())));
+body{{margin:0;font:13px sans-serif;display:grid;grid-template:auto 1fr/1fr 260px;height:100vh}}header{{grid-column:1/3;padding:6px;border-bottom:1px solid #ddd}}
+svg{{width:100%;height:100%}}aside{{padding:8px;overflow:auto;border-left:1px solid #ddd}}line{{stroke:#bbb}}line.on{{stroke:#cf222e}}circle{{cursor:pointer}}.off{{opacity:.12}}
+</style></head><body><header><b>{title}</b> {n} modules, {cycles} cycles <input id="q" placeholder="search"> <select id="p"><option value="">all packages</option></select></header>
+<svg id="g"></svg><aside id="d">Click a module.</aside><script>
+const data={data},svg=document.getElementById('g'),W=svg.clientWidth,H=svg.clientHeight,ns='http://www.w3.org/2000/svg',at={{}},fill={{healthy:'#2da44e',critical:'#cf222e'}};
+const N=data.nodes.length,gap=Math.sqrt(W*H/Math.max(N,1))*.6;
+data.nodes.forEach((n,i)=>{{const r=gap*Math.sqrt(i+1)/2;n.x=W/2+r*Math.cos(2.4*i);n.y=H/2+r*Math.sin(2.4*i);at[n.id]=n}});
+const links=data.links.map(l=>({{s:at[l.source],t:at[l.target]}}));
+function step(heat){{
+ const cell=new Map(),key=(x,y)=>Math.floor(x/gap/2)+':'+Math.floor(y/gap/2);
+ data.nodes.forEach(n=>{{n.u=(W/2-n.x)*.01;n.v=(H/2-n.y)*.01;const k=key(n.x,n.y);cell.has(k)?cell.get(k).push(n):cell.set(k,[n])}});
+ data.nodes.forEach(n=>{{for(let i=-1;i<2;i++)for(let j=-1;j<2;j++)(cell.get(key(n.x+2*i*gap,n.y+2*j*gap))||[]).forEach(m=>{{if(m===n)return;const x=n.x-m.x||.1,y=n.y-m.y||.1,d=x*x+y*y;n.u+=x*gap*gap/d*.3;n.v+=y*gap*gap/d*.3}})}});
+ links.forEach(l=>{{const x=l.t.x-l.s.x,y=l.t.y-l.s.y,k=.02;l.s.u+=x*k;l.s.v+=y*k;l.t.u-=x*k;l.t.v-=y*k}});
+ data.nodes.forEach(n=>{{const d=Math.hypot(n.u,n.v)||1,m=Math.min(d,heat);n.x=Math.min(W-15,Math.max(15,n.x+n.u/d*m));n.y=Math.min(H-15,Math.max(15,n.y+n.v/d*m))}});
+}}
+for(let h=gap;h>1;h*=.96)step(h);
+links.forEach(l=>{{const e=document.createElementNS(ns,'line');[['x1',l.s.x],['y1',l.s.y],['x2',l.t.x],['y2',l.t.y]].forEach(p=>e.setAttribute(...p));l.e=e;svg.append(e)}});
+function show(n){{const near=new Set([n]),out=[],into=[];
+ links.forEach(l=>{{const on=l.s===n||l.t===n;l.e.setAttribute('class',on?'on':'off');if(on){{near.add(l.s);near.add(l.t);l.s===n?out.push(l.t.id):into.push(l.s.id)}}}});
+ data.nodes.forEach(m=>m.e.setAttribute('class',near.has(m)?'':'off'));
+ const d=document.getElementById('d');d.textContent='';const put=(tag,text)=>{{const e=document.createElement(tag);e.textContent=text;d.append(e)}};
+ put('h3',n.id);[['file',n.file],['lines',n.loc],['health',n.health],['ca',n.ca],['ce',n.ce],['instability',n.instability],['cc',n.cc]].forEach(p=>put('div',p.join(': ')));
+ put('h4','imports '+out.length);out.forEach(x=>put('div',x));put('h4','imported by '+into.length);into.forEach(x=>put('div',x));}}
+data.nodes.forEach(n=>{{const e=document.createElementNS(ns,'circle'),t=document.createElementNS(ns,'title');t.textContent=n.id;e.append(t);[['cx',n.x],['cy',n.y],['r',n.radius],['fill',fill[n.health]||'#58a']].forEach(p=>e.setAttribute(...p));n.e=e;e.onclick=()=>show(n);svg.append(e)}});
+const q=document.getElementById('q'),p=document.getElementById('p');[...new Set(data.nodes.map(n=>n.group))].sort().forEach(g=>p.append(new Option(g,g)));
+q.oninput=p.onchange=()=>{{const hit=n=>n.id.toLowerCase().includes(q.value.toLowerCase())&&(!p.value||n.group===p.value);
+ data.nodes.forEach(n=>n.e.setAttribute('class',hit(n)?'':'off'));links.forEach(l=>l.e.setAttribute('class',hit(l.s)&&hit(l.t)?'':'off'))}};
 </script></body></html>"""
 
 
 def page(a: Analysis) -> str:
     """One HTML page that draws the graph without anything from outside it."""
     rows = a.metrics.orderBy("id").collect()
-    nodes = [{"id": m.id, "ca": m.ca, "ce": m.ce, "health": m.health, "group": (m.id.split(".") + [""])[1], "radius": min(30, max(6, 6 + 2 * (m.ca + m.ce))) / 2} for m in rows]
+    nodes = [{"id": m.id, "ca": m.ca, "ce": m.ce, "health": m.health, "file": m.rel_path, "loc": m.loc, "cc": m.cc, "instability": round(m.instability, 3), "group": (m.id.split(".") + [""])[1], "radius": min(30, max(6, 6 + 2 * (m.ca + m.ce))) / 2} for m in rows]
     data = json.dumps({"nodes": nodes, "links": [{"source": e.source, "target": e.target} for e in _edges(a)]}).replace("</", "<\\/")
     return _PAGE.format(title=html.escape(a.project), n=len(nodes), cycles=a.cycles.count(), data=data)

@@ -10,7 +10,7 @@ import pytest
 
 from girder import cli
 from girder.config import Rules, Settings, from_mapping
-from girder.plans import render
+from girder.plans import render, tools
 from girder.operators.symbols import by_id
 from girder.plans.engine import Analysis
 
@@ -121,7 +121,13 @@ def test_cycle_tree(spark, tmp_path):
     a = Analysis(spark, str(root))
     (row,) = a.cycle_report.collect()
     assert list(row.path) == ["cyclic.a", "cyclic.b", "cyclic.c", "cyclic.a"] and row.kind == "runtime"
-    assert "break at" in render.cycle_text(a) and "color=red" in render.dot(a)
+    assert "break at" in render.cycle_text(a) and "cyclic.b: in 1 cycle(s)" in render.cycle_text(a) and "color=red" in render.dot(a)
+    assert "concentrate=false" in render.dot(a, colored=False, concentrate=False) and "#2da44e" not in render.dot(a, colored=False)
+    told = tools.cycles(a)
+    assert (told["count"], told["runtime_count"], told["safe_count"]) == (1, 1, 0) and told["cycles"][0]["path"] == ["a.py", "b.py", "c.py", "a.py"]
+    assert tools.file_context(a, "a.py")["cycles"] == [{"path": ["cyclic.a", "cyclic.b", "cyclic.c", "cyclic.a"], "kind": "runtime"}]
+    (ring,) = [x for x in tools.file_context(a, "a.py", compact=False)["all_insights"] if x["code"] == "in_cycle"]
+    assert ring["detail"] == "involved in 1 cycle(s), largest has 3 modules"
     assert {r.code for r in a.insights.where("id = 'cyclic.a'").collect()} >= {"in_cycle"}
 
 
@@ -183,6 +189,34 @@ def test_full_context_tells_cycles_lines_and_paths(spark, tmp_path):
     assert list(bad.path) == ["ring.d", "ring.a", "ring.b", "ring.c"]
 
 
+def test_questions(analysis):
+    got = tools.analyze(analysis)
+    assert (got["modules"], got["dependencies"], got["has_cycles"], got["cycle_count"]) == (8, 5, False, 0) and sum(got["health"].values()) == 8
+    assert tools.find(analysis, "ENG")["modules"][0]["file"] == "core/engine.py" and tools.cycles(analysis) == {"has_cycles": False}
+    row = tools.file_context(analysis, "core/engine.py")
+    assert row["file"] == "core/engine.py" and row["dependents"] == ["myproject.api.views"] and "cycles" not in row and "parse_error" not in row
+    assert tools.file_context(analysis, "api/broken.py")["insights"][0] == "parse_failed" and tools.file_context(analysis, "api/broken.py")["parse_error"]
+    assert tools.file_context(analysis, "api/broken.py", min_severity="critical")["insights"] == ["parse_failed"]
+    full = tools.file_context(analysis, "api/broken.py", compact=False)
+    assert full["all_insights"][0]["detail"] == "AST parse failed (LOC=1): all metrics unreliable"
+    assert tools.file_context(analysis, "egine.py") == {"error": "'egine.py' not found", "suggestions": []}
+    assert tools.context(analysis, ["core/engine.py"])["files"][0]["module"] == "myproject.core.engine"
+    assert [m["file"] for m in tools.module_metrics(analysis, "ca", 1)["modules"]] == ["core/__init__.py"]
+    assert {"classes", "functions"} <= set(tools.module_metrics(analysis, "cc", 0, compact=False)["modules"][0])
+    assert tools.path(analysis, "api/views.py", "core/models.py")["hops"] == 1 and tools.path(analysis, "utils.py", "core/models.py")["path"] is None
+    top = tools.overview(analysis)
+    assert (top["modules"], top["edges"], top["packages"]) == (8, 5, 2) and all(h["ca"] > 0 for h in top["top_hubs"])
+    assert tools.impact(analysis, mode="hotspots")["hotspots"] == [{"file": "core/engine.py", "name": "Engine", "kind": "class", "usage_count": 2}]
+    unused = tools.impact(analysis, mode="unused", limit=1)
+    assert (unused["total"], unused["showing"], len(unused["symbols"])) == (2, 1, 1) and unused["framework_filtered"]
+    (hit,) = tools.impact(analysis, "core/engine.py", "Engine")["impacts"]
+    assert hit["affected_modules"] == ["api/views.py"] and hit["affected_count"] == 1
+    assert tools.impact(analysis, "core/engine.py", "Nothing")["available"] == ["Engine"] and tools.impact(analysis, "api/views.py")["symbols"] == []
+    assert tools.symbols_of(analysis, "utils.py") == {"file": "utils.py", "total": 1, "symbols": [{"name": "format_name", "kind": "function", "line": 1}]}
+    assert tools.symbols_of(analysis, "core/engine.py", compact=False)["symbols"][0]["usage_count"] == 2
+    assert tools.hotspots(analysis)["available"] is False
+
+
 def test_history(spark, tmp_path):
     root = write(tmp_path / "g", {"a.py": "def f(x):\n    if x: pass\n"})
     env = ["git", "-c", "user.name=A", "-c", "user.email=a@b.c", "-C", str(root)]
@@ -194,6 +228,8 @@ def test_history(spark, tmp_path):
     a = Analysis(spark, str(root))
     (row,) = a.hotspots().collect()
     assert row.id == "g.a" and row.commits == 3 and row.score == 6.0
+    assert tools.hotspots(a)["hotspots"] == [{"file": "a.py", "hotspot_score": 6.0, "health": "healthy", "churn": "warm"}]
+    assert tools.file_context(a, "a.py")["churn"] == "warm"
     assert Analysis(spark, str(write(tmp_path / "none", {"a.py": ""}))).hotspots() is None
 
 
