@@ -1,22 +1,27 @@
 """License scans by conditional compression.
 
-A word that licences use (a cue) makes a candidate: the words around it, as far as a
-template reaches. Templates of which it lacks more words than a copy may differ in can't be there;
-with each other template as zstandard raw dictionary, and alone, it is compressed, and what
-a template saves, as a share of its own compressed size, ranks it. In that order all of them
-are confirmed by the exact differences of wording between the template and the place where
-it fits best, and again before and after that place. Of confirmed ones that overlap the one
-with the most equal words stays, then that with the fewest differences.
+A template of which a copy may differ in ``k`` words is cut into ``k + 1`` pieces, so that
+every copy holds one of them unchanged. Where a piece is found, the words around it, as far
+as the template reaches, are a candidate. Templates of which it lacks more words than a copy
+may differ in can't be there; with each other template of that length as zstandard raw
+dictionary, and alone, it is compressed, and what a template saves, as a share of its own
+compressed size, ranks it. In that order all of them are confirmed by the exact differences
+of wording, the fewest edits of words, between the template and the place where it fits best,
+and again before and after that place. Of confirmed ones that overlap the one with the most
+equal words stays, then that with the fewest differences.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from difflib import SequenceMatcher
+from itertools import accumulate
 
+import ahocorasick
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
@@ -41,7 +46,6 @@ _NAMED = {"MIT": "MIT License", "Apache-2.0": "Apache License, Version 2.0", "BS
 _CC = ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")
 _CC_VERSIONS = ("2.0", "2.5", "3.0", "4.0")
 
-_CUE = re.compile(r"licen[sc]|permission|redistribut|spdx|public domain|released under", re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -81,15 +85,78 @@ def _body(words: list[str]) -> bytes:
     return " ".join(words).encode("utf-8", "replace")
 
 
+def pieces(words: list[str], most: int) -> list[str]:
+    """A template's words in ``most + 1`` parts, of which as many differences leave one as it is."""
+    cut = [len(words) * k // (most + 1) for k in range(most + 2)]
+    return [" ".join(words[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+
+
+def _edit_rows(t: np.ndarray, w: np.ndarray) -> Iterator[np.ndarray]:
+    """For each number of words of ``t`` the fewest edits that make them of what ends at each place of ``w``."""
+    step = np.arange(len(w) + 1, dtype=np.int32)
+    row = np.zeros_like(step)
+    yield row
+    for i, x in enumerate(t, 1):
+        made = np.empty_like(step)
+        made[0] = i
+        np.minimum(row[:-1] + (w != x), row[1:] + 1, out=made[1:])
+        row = np.minimum.accumulate(made - step) + step
+        yield row
+
+
+def differences(template: list[str], words: list[str], most: int) -> tuple[int, int, int, list[tuple[list[str], list[str]]]] | None:
+    """The fewest edits of words that make the template of some part of ``words``: how many, where it is, what they change.
+
+    None if there are more than ``most``. Of several such parts it is the first that ends; it
+    begins and ends with words that are equal. Memory grows with the square of the template's words.
+    """
+    ids: dict[str, int] = {}
+    t, w = (np.array([ids.setdefault(x, len(ids)) for x in part], np.int32) for part in (template, words))
+    *_, last = _edit_rows(t, w)
+    n, end = int(last.min()), int(last.argmin())
+    if n > most:
+        return None
+    skipped = max(0, end - len(t) - n)
+    words, w = words[skipped:end], w[skipped:end]
+    table = np.stack(list(_edit_rows(t, w)))
+    i, j = len(t), len(w)
+    start = j
+    changes: list[tuple[list[str], list[str]]] = []
+    joined = False  # is the change before this one beside it?
+    while i:
+        x, y = [], []
+        if j and table[i, j] == table[i - 1, j - 1] + (t[i - 1] != w[j - 1]):
+            i, j = i - 1, j - 1
+            if t[i] == w[j]:
+                joined, start = False, j
+                continue
+            x, y = [template[i]], [words[j]]
+        elif table[i, j] == table[i - 1, j] + 1:
+            i -= 1
+            x = [template[i]]
+        else:
+            j -= 1
+            y = [words[j]]
+        if joined:
+            x, y = x + changes[-1][0], y + changes[-1][1]
+            changes.pop()
+        changes.append((x, y))
+        joined = True
+    if changes and joined:
+        # what comes before the first equal word is no part of the place
+        changes[-1] = (changes[-1][0], [])
+    return n, skipped + start, end, changes[::-1]
+
+
 class Scanner:
-    """Templates ready to weigh candidates; each must hold a cue."""
+    """Templates ready to weigh candidates; each must hold a word."""
 
     def __init__(self, templates: list[tuple[str, str]]) -> None:
         self.given = templates
         self.plain: zstandard.ZstdCompressor | None = None
         for licence, text in templates:
-            if not _CUE.search(text):
-                raise ValueError(f"the template of {licence} holds no cue")
+            if not _WORD.search(text):
+                raise ValueError(f"the template of {licence} holds no word")
 
     def __getstate__(self) -> dict:
         return {"given": self.given, "plain": None}
@@ -97,43 +164,50 @@ class Scanner:
     def _load(self) -> None:
         self.plain = _packer()
         empty = len(self.plain.compress(b""))
-        self.templates = []
+        self.templates, reach_of = [], {}
         for licence, text in self.given:
             words = _WORD.findall(text.lower())
-            self.templates.append(Template(licence, words, max(1, len(self.plain.compress(_body(words))) - empty), Counter(words), int(DIFFERENCES * len(words)), _packer(b" " * 8 + _body(words))))
-        self.reaches = sorted({len(t.words) for t in self.templates})
+            most = int(DIFFERENCES * len(words))
+            self.templates.append(Template(licence, words, max(1, len(self.plain.compress(_body(words))) - empty), Counter(words), most, _packer(b" " * 8 + _body(words))))
+            for piece in pieces(words, most):
+                reach_of.setdefault(piece, set()).add(len(words))
+        self.pieces = ahocorasick.Automaton()
+        for piece, reaches in reach_of.items():
+            self.pieces.add_word(f" {piece} ", (len(piece.split()), sorted(reaches)))
+        self.pieces.make_automaton()
 
     def scan(self, text: str) -> list[tuple[str, int, int, int, float, str]]:
         """Licence, start, end, differing words, share saved, and the differences in wording."""
-        if not _CUE.search(text):
-            return []
         if self.plain is None:
             self._load()
-        spans = [m.span() for m in _WORD.finditer(text)]
-        words = [text[a:b].lower() for a, b in spans]
-        starts = [m.start() for m in _CUE.finditer(text)]
-        cues, k = [], 0
-        for s in starts:
-            while k < len(spans) and spans[k][1] <= s:
-                k += 1
-            if k < len(spans) and (not cues or cues[-1] != k):
-                cues.append(k)
+        body = " ".join(_WORD.findall(text)).lower()
+        hits = list(self.pieces.iter(f" {body} "))
+        if not hits:
+            return []
+        words = body.split(" ")
+        ends = list(accumulate(len(w) + 1 for w in words))  # of each word with the blank after it
+        seeds: dict[int, list[int]] = {}
+        for end, (length, reaches) in hits:
+            for reach in reaches:
+                seeds.setdefault(reach, []).append(bisect_left(ends, end) - length + 1)
         found = []
-        for reach in self.reaches:
+        for reach, places in sorted(seeds.items()):
             same = [t for t in self.templates if len(t.words) == reach]
-            last = None
-            for cue in cues:
-                # the window of the cue before reaches over all templates that hold this one
-                if last is not None and cue - last <= reach // 4:
+            most, last = same[0].most, None
+            for seed in sorted(places):
+                # the window of the piece before reaches over all copies that hold this one
+                if last is not None and seed - last <= reach // 4:
                     continue
-                last = cue
-                lo, hi = max(0, cue - reach), min(len(words), cue + reach + reach // 4 + 1)
+                last = seed
+                lo, hi = max(0, seed - reach - most), min(len(words), seed + reach + reach // 4 + most + 1)
                 found += self._confirm(words, lo, hi, self._rank(words[lo:hi], same))
+        spans = [m.span() for m in _WORD.finditer(text)] if found else []
         taken: list[tuple] = []
         for f in sorted(found, key=lambda f: (f[3] - f[5], f[3], f[1], f[0])):
-            if all(f[2] <= o[1] or o[2] <= f[1] for o in taken):
-                taken.append(f)
-        return [(licence, spans[a][0], spans[b - 1][1], n, saved, said) for licence, a, b, n, saved, _, said in sorted(taken, key=lambda f: f[1])]
+            at = bisect_left(taken, f[1], key=lambda o: o[1])
+            if (at == 0 or taken[at - 1][2] <= f[1]) and (at == len(taken) or f[2] <= taken[at][1]):
+                taken.insert(at, f)
+        return [(licence, spans[a][0], spans[b - 1][1], n, saved, said) for licence, a, b, n, saved, _, said in taken]
 
     def _rank(self, window: list[str], templates: list[Template]) -> list[tuple[float, Template]]:
         held = Counter(window)
@@ -156,17 +230,9 @@ class Scanner:
                     parts += [(first, f[1]), (f[2], last)]
 
     def _place(self, words: list[str], lo: int, hi: int, saved: float, t: Template) -> Iterator[tuple]:
-        most = t.most
-        window = words[lo:hi]
-        blocks = [b for b in SequenceMatcher(None, t.words, window, autojunk=False).get_matching_blocks() if b.size]
-        if sum(b.size for b in blocks) < len(t.words) - most:
-            return
-        a = max(0, blocks[0].b - blocks[0].a)
-        b = min(len(window), blocks[-1].b + blocks[-1].size + len(t.words) - blocks[-1].a - blocks[-1].size)
-        part = SequenceMatcher(None, t.words, window[a:b], autojunk=False)
-        changes = [(t.words[i:j], window[a + k : a + m]) for op, i, j, k, m in part.get_opcodes() if op != "equal"]
-        n = sum(max(len(x), len(y)) for x, y in changes)
-        if n <= most:
+        fit = differences(t.words, words[lo:hi], t.most)
+        if fit:
+            n, a, b, changes = fit
             said = "; ".join(f"{' '.join(x) or '-'} > {' '.join(y) or '-'}" for x, y in changes)
             yield t.licence, lo + a, lo + b, n, round(saved, 6), len(t.words), said
 
@@ -178,9 +244,12 @@ def find_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     """One row for each licence text found: ``doc_id, license, start, end, differences, saved, wording``.
 
     ``start`` and ``end`` are code points of the whole text; ``wording`` lists how its words
-    differ from the template's, and ``differences`` counts them. Null and empty texts hold
-    none. Rows that repeat are each reported, null ids pass through, other columns are
-    ignored. Of templates with one text the first by name is reported.
+    differ from the template's, and ``differences`` counts them. Every copy within the
+    differences is found, unless an overlapping one of more equal words or fewer differences
+    is told in its place. Null and empty texts hold none, texts of any length are scanned
+    whole, and an empty table gives an empty result. Rows that repeat are each reported, null
+    ids pass through, other columns are ignored. Of templates with one text the first by name
+    is reported.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Scanner(default_templates() if templates is None else templates))
 
