@@ -233,7 +233,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", modulus:
 
 
 def score_documents(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score, predicted`` for each row; null texts count as empty and are scored too."""
+    """``doc_id, score, predicted`` for each row.
+
+    Null texts count as empty and are scored too; texts of any length are measured whole.
+    Ids pass through as they are, null and repeated ones too; an empty table gives an empty
+    result; other columns are ignored.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(trees)  # its size is fixed by rounds and depth
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -247,7 +252,11 @@ def score_documents(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD,
 
 
 def keep_good(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with all their columns."""
+    """The rows of ``docs`` that the classifier accepts, with all their columns.
+
+    Each row goes by its own text, whatever its id; null texts count as empty, rows that
+    repeat stay or go together, and an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     @F.pandas_udf("double")

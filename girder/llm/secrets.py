@@ -459,7 +459,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     find in a decoded layer that has the kind, span and value of an earlier one is that one,
     but finds at different places of compressed data, which share its span, all count. Null
     texts count as empty; rows that repeat come out as often as they came in; null ids pass
-    through; other columns are ignored. A run that doesn't decode is left as it is.
+    through; an empty table gives an empty result; other columns are ignored. A run that
+    doesn't decode is left as it is.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
