@@ -19,7 +19,8 @@ partitions changes a sum.
 Token counts cover all training texts; the most frequent tokens are broadcast up to
 :data:`HEAD`, and rarer ones reach their texts by a join, in which none can be hot because
 each is rarer than all of the head. The table of weights grows with the number of training
-tokens up to ``2 ** MOST_BITS`` rows of eight: it is broadcast, and that is its bound.
+tokens up to ``2 ** MOST_BITS`` rows of eight: it is broadcast, and that is its bound, which
+callers whose executors have more memory can raise.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ CLASSES = GROUPS * PER_GROUP
 #: Tokens that may be classes of their own, and whose place before a token tells what class it has.
 SINGLES = 32
 FEATURES = 3
-LEAST_BITS, MOST_BITS = 16, 19
+LEAST_BITS, MOST_BITS = 16, 20
 #: Tokens whose counts are broadcast.
 HEAD = 200_000
 #: Sixteenths of the training texts, and the rate, of each update.
@@ -52,7 +53,7 @@ SMOOTHING = 2.0
 UNIT = 1 / 4096
 #: Training tokens that one task of an update takes at most, where there are more tasks than cores.
 TASK_TOKENS = 32_000_000
-BATCH = 1 << 17
+BATCH = 1 << 18
 _SLICE = 256
 _KNOWN_WORDS = 300_000
 _PENDING = 300_000
@@ -231,7 +232,7 @@ class Gradient:
 
     def __init__(self, weights: Weights) -> None:
         self.weights, self.size = weights, 1 << weights.bits
-        self.observed = np.zeros((PER_GROUP, self.size))
+        self.observed = np.zeros((PER_GROUP, self.size), np.int32)  # a task takes fewer tokens than that counts to
         self.expected = np.zeros((PER_GROUP, self.size))
 
     def add(self, keys: np.ndarray, kind: np.ndarray) -> None:
@@ -239,16 +240,16 @@ class Gradient:
         rows = self.weights.rows(keys, group)
         p = np.rint(np.exp(self.weights.log_softmax(rows)) * (1 / UNIT))
         flat = rows[:FEATURES].ravel()
+        outcome = np.tile(np.concatenate((group, kind % PER_GROUP)), FEATURES)
         for o in range(PER_GROUP):
             self.expected[o] += np.bincount(flat, np.tile(p[o], FEATURES), self.size)
-        outcome = np.concatenate((group, kind % PER_GROUP))
-        self.observed += np.bincount(flat + np.tile(outcome * self.size, FEATURES), minlength=PER_GROUP * self.size).reshape(PER_GROUP, -1)
+            self.observed[o] += np.bincount(flat[outcome == o], minlength=self.size).astype(np.int32)
 
     def frames(self) -> Iterator[pd.DataFrame]:
         touched = np.flatnonzero(self.observed.any(axis=0))
         for block in np.unique(touched // _BLOCK):
             rows = touched[np.searchsorted(touched, block * _BLOCK) : np.searchsorted(touched, (block + 1) * _BLOCK)]
-            sums = np.stack((self.observed[:, rows], self.expected[:, rows])).astype(np.int64)
+            sums = np.stack((self.observed[:, rows].astype(np.int64), self.expected[:, rows].astype(np.int64)))
             yield pd.DataFrame({"block": [np.int32(block)], "rows": [_packed((rows - block * _BLOCK).astype(np.int16))], "sums": [_packed(sums)]})
 
 
@@ -443,8 +444,11 @@ class Model:
         return self.weights.log_probs(features(codes, starts), kind) / np.log(10) - self.class_log[kind]
 
 
-def fit(vocabulary: DataFrame, encoded: DataFrame, head: list[tuple[bytes, int]], n_tokens: int) -> Model:
-    """Train on the rows of ``encoded`` that are not held out; ``n_tokens`` is how many tokens they have."""
+def fit(vocabulary: DataFrame, encoded: DataFrame, head: list[tuple[bytes, int]], n_tokens: int, most_bits: int = MOST_BITS) -> Model:
+    """Train on the rows of ``encoded`` that are not held out; ``n_tokens`` is how many tokens they have.
+
+    A row of weights takes 32 bytes in each executor and 96 in each training task.
+    """
     endings_of_head = np.array([0] + [ending(w) for w, _ in head], np.int64)
     train = encoded.where("not held_out")
     by_item = cluster_classes(profiles(train, endings_of_head))
@@ -458,7 +462,7 @@ def fit(vocabulary: DataFrame, encoded: DataFrame, head: list[tuple[bytes, int]]
         for kind, sign in ((by_item[ending(word)], -1), (by_item[_ENDINGS + place], 1)):
             sums[kind] += sign * n
             kinds[kind] += sign
-    bits = min(MOST_BITS, max(LEAST_BITS, n_tokens.bit_length() - 6))
+    bits = min(most_bits, max(LEAST_BITS, n_tokens.bit_length() - 6))
     weights = Weights(bits, sums)
     tasks = max(2 * encoded.sparkSession.sparkContext.defaultParallelism, -(-n_tokens // TASK_TOKENS))
     first = 0
@@ -476,7 +480,7 @@ def _update_of(*columns: Column) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(sum(share for share, _ in UPDATES))).cast("int")
 
 
-def score_documents(docs: DataFrame, modulus: int = 7, held_remainder: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, modulus: int = 7, held_remainder: int = 2, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
     """Learn from the texts outside the fold and score all texts.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for
@@ -486,6 +490,8 @@ def score_documents(docs: DataFrame, modulus: int = 7, held_remainder: int = 2,
     whole. Rows without an id are learned from and never held out; rows that repeat come
     out as often as they came in; other columns are ignored. Without any training text
     every token is unknown and the base score is 0. An empty table gives an empty result.
+    The table of weights grows with the training tokens up to ``2 ** most_bits`` rows, which
+    is to be as large as the executors' memory allows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -496,7 +502,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, held_remainder: int = 2,
     head = frequent_tokens(vocabulary, HEAD)
     given = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "held_out", _update_of(F.col("doc_id"), F.col("text")).alias("update"), "text")
     encoded, encoded_path = materialize(encode(given, head), "token-codes", codec="zstd")
-    shared = spark.sparkContext.broadcast(fit(vocabulary, encoded, head, n))
+    shared = spark.sparkContext.broadcast(fit(vocabulary, encoded, head, n, most_bits))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _slices(batches):
