@@ -53,7 +53,7 @@ SMOOTHING = 2.0
 UNIT = 1 / 4096
 #: Training tokens that one task of an update takes at most, where there are more tasks than cores.
 TASK_TOKENS = 32_000_000
-BATCH = 1 << 18
+BATCH = 1 << 17
 _SLICE = 256
 _KNOWN_WORDS = 300_000
 _PENDING = 300_000
@@ -240,10 +240,10 @@ class Gradient:
         rows = self.weights.rows(keys, group)
         p = np.rint(np.exp(self.weights.log_softmax(rows)) * (1 / UNIT))
         flat = rows[:FEATURES].ravel()
-        outcome = np.tile(np.concatenate((group, kind % PER_GROUP)), FEATURES)
         for o in range(PER_GROUP):
             self.expected[o] += np.bincount(flat, np.tile(p[o], FEATURES), self.size)
-            self.observed[o] += np.bincount(flat[outcome == o], minlength=self.size).astype(np.int32)
+        outcome = np.concatenate((group, kind % PER_GROUP))
+        np.add.at(self.observed.reshape(-1), flat + np.tile(outcome * self.size, FEATURES), np.int32(1))
 
     def frames(self) -> Iterator[pd.DataFrame]:
         touched = np.flatnonzero(self.observed.any(axis=0))
