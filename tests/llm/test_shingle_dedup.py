@@ -69,3 +69,17 @@ def test_awkward_rows_and_empty_table(awkward, nothing):
     kept = sorted((r.doc_id for r in shingle_dedup.near_dedup(awkward).collect()), key=repr)
     assert kept == [1, 10, 11, 3, 6, 7, 8, 9]
     assert shingle_dedup.near_dedup(nothing).count() == 0
+
+
+def test_what_the_driver_holds_is_bounded(spark, monkeypatch):
+    """A crowded filter says more often that a shingle occurs again, never that it doesn't."""
+    assert (1 << shingle_dedup.MOST_BITS) // 8 + 12 * shingle_dedup.FREQUENT <= 16 << 20
+    monkeypatch.setattr(shingle_dedup, "MOST_BITS", 16)
+    rng = random.Random(7)
+    texts = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(700)) for _ in range(120)]
+    rows = list(enumerate(texts + [f"{t} end" for t in texts] + [" ".join(f"u{i}_{k}" for k in range(50)) for i in range(40)]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = shingle_dedup.find_order(docs.selectExpr("doc_id row", "text"), 5)
+    assert order.words.nbytes == 1 << 13 and order.looks == 1
+    assert all(order.again((shingle_dedup.shingles(t) >> np.uint64(24)).astype(np.int64)).all() for t in texts)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [*range(120), *range(240, 280)]
