@@ -191,15 +191,18 @@ def link_shard(fp: np.ndarray, resident: np.ndarray, reach: int, seeking: np.nda
     return forest.up
 
 
-def link_edges(distinct: DataFrame, reach: int, sample: int = SAMPLE, block_rows: int | None = None) -> DataFrame:
+def link_edges(distinct: DataFrame, reach: int, sample: int = SAMPLE, block_rows: int | None = None, spread: int = 4) -> DataFrame:
     """Edges ``a, b`` that join all fingerprints linked by ``reach`` bits or fewer.
 
     The number of shards grows as the root of the number of fingerprints: it balances the
     rows of a shard against the visits, of which each level of the tree makes half as many
-    again.
+    again; the wider the reach, the fewer shards (a larger ``spread``) are worth their visits.
+    With a column ``band`` only fingerprints of one band or of neighbouring ones are linked:
+    each shard has a part for each band, and rows also visit the next band.
     """
     spark, most = distinct.sparkSession, block_rows or BLOCK_ROWS
-    shards = int(np.ceil(np.sqrt(distinct.count()) / 4))
+    banded = "band" in distinct.columns
+    shards = int(np.ceil(np.sqrt(distinct.count()) / spread))
     picked = [r[0] for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(max(sample, PER_SHARD * shards)).collect()]
     tree = VantageTree(np.array(picked, np.int64).view(np.uint64), shards)
     tree_b = spark.sparkContext.broadcast(tree)  # a node for each shard at most
@@ -207,8 +210,11 @@ def link_edges(distinct: DataFrame, reach: int, sample: int = SAMPLE, block_rows
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = batch["fp"].to_numpy()
+            band = batch["band"].to_numpy() if banded else np.zeros(len(fp), np.int32)
             for s, rows, home in tree_b.value.route(fp.view(np.uint64), reach):
-                yield pd.DataFrame({"shard": np.full(len(rows), s, np.int32), "fp": fp[rows], "resident": home})
+                for above in range(1 + banded):
+                    shard = (band[rows] + above) * tree_b.value.shards + s
+                    yield pd.DataFrame({"shard": shard.astype(np.int32), "fp": fp[rows], "resident": home & (above == 0)})
 
     def link(batch: pd.DataFrame) -> pd.DataFrame:
         fp = batch["fp"].to_numpy()
@@ -216,7 +222,7 @@ def link_edges(distinct: DataFrame, reach: int, sample: int = SAMPLE, block_rows
         linked = np.flatnonzero(up != np.arange(len(up)))
         return pd.DataFrame({"a": fp[linked], "b": fp[up[linked]]})
 
-    dealt, path = materialize(distinct.select("fp").mapInPandas(route, "shard int, fp long, resident boolean"), "visits")
+    dealt, path = materialize(distinct.select("fp", *["band"] * banded).mapInPandas(route, "shard int, fp long, resident boolean"), "visits")
     edges, _ = materialize(parted(dealt, most).groupBy("shard", "i", "j").applyInPandas(link, "a long, b long"), "links")
     discard(spark, path)
     return edges
@@ -307,9 +313,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     It is the row with the smallest id, null ids last; of rows that repeat that id the first.
     Null texts count as empty; texts without words are one component. An empty table gives
     an empty result. With ``similarity``, a fraction, a link is a Jaccard similarity of the
-    sets of ``width``-word shingles of at least that. Texts so similar differ in up to
-    20 bits or so, a distance at which vantage-point trees prune nothing, so that these
-    links are found by :mod:`girder.llm.shingle_dedup` instead of fingerprints.
+    sets of ``width``-word shingles of at least that: :mod:`girder.llm.shingle_dedup` checks
+    the texts that fingerprints join, and finds the links between fingerprints further apart.
     """
     if similarity is not None:
         from girder.llm import shingle_dedup

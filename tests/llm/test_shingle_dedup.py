@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
-from girder.llm import shingle_dedup
+from girder.llm import shingle_dedup, simhash
 
 
 def shingle_set(text):
@@ -83,3 +83,36 @@ def test_what_the_driver_holds_is_bounded(spark, monkeypatch):
     assert order.words.nbytes == 1 << 13 and order.looks == 1
     assert all(order.again((shingle_dedup.shingles(t) >> np.uint64(24)).astype(np.int64)).all() for t in texts)
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [*range(120), *range(240, 280)]
+
+
+def test_stage_goes_through_the_trees(spark, monkeypatch):
+    """With the way for the rest shut, fingerprints still join near copies, and the check parts unlike texts."""
+    monkeypatch.setattr(shingle_dedup, "prefixes", lambda texts, *_: spark.createDataFrame([], "row long, h long"))
+    rng = random.Random(11)
+    rows = []
+    for i in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "changed"]))]
+    rows += [(1000, "one two three four five"), (1001, "one two three four five " * 200)]
+    rows += [(1002, "a b c d e"), (1003, "A b  c d E"), (1004, ""), (1005, " ")]
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    kept = {r.doc_id for r in out.collect()}
+    assert kept >= {*range(0, 120, 2), 1000, 1001, 1002, 1004} and not kept & {1003, 1005}
+    assert len(kept & set(range(1, 120, 2))) < 6
+
+
+def test_bands_against_all_pairs(spark):
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    made = sorted({((b := rng.choice(base)) ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 4))), rng.randrange(5)) for _ in range(600)})
+    signed = [(x - (1 << 64) if x >> 63 else x, band) for x, band in made]
+    distinct = spark.createDataFrame(signed, "fp long, band int")
+    roots = {r.node: r.root for r in simhash.components(simhash.link_edges(distinct, 3, block_rows=16, spread=2)).collect()}
+    label = {x: x for x, _ in signed}
+    for i, (a, p) in enumerate(signed):
+        for b, q in signed[:i]:
+            if abs(p - q) <= 1 and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3 and label[a] != label[b]:
+                old, new = label[a], label[b]
+                label = {k: new if v == old else v for k, v in label.items()}
+    groups = lambda of: {frozenset(k for k in label if of(k) == one) for one in {of(k) for k in label}}
+    assert groups(lambda k: roots.get(k, k)) == groups(label.get)
