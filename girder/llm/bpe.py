@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from girder.llm.common import text_or_empty
+from girder.llm.common import give_back, text_or_empty
 
 CACHE_WORDS = 250_000
 #: Words that are encoded together at most.
@@ -348,6 +348,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     is that of the tokenizer file, whatever the documents.
     """
     automaton = docs.sparkSession.sparkContext.broadcast(load_automaton(tokenizer_path))
+    give_back()  # compiling takes ten times the memory of what it makes
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a = automaton.value

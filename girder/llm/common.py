@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +22,13 @@ def crc_bucket(id_col: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus, F.lit(-1))
 
 
+def give_back() -> None:
+    """Return memory that Python has freed to the system, which else a driver holds as long as it lives."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs``, written and read again with a number for each row, and the name of that column.
 

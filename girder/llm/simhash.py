@@ -245,7 +245,7 @@ def parted(dealt: DataFrame, most: int) -> DataFrame:
     return small.unionByName(seeks).unionByName(held)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", few: int = 0) -> DataFrame:
     """``node, root`` for every node of an edge, by large-star and small-star steps.
 
     The steps need rounds in the order of the squared logarithm of the number of edges;
@@ -253,15 +253,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Minima are aggregated before they are joined back, so that a star of any size is
     combined on the map side and its join can be split.
+
+    Up to ``few`` distinct edges each step is one task without a shuffle: dealing few rows
+    over all partitions, round after round, costs the driver more memory than they take.
+    No step makes more edges than it gets, so the first count decides.
     """
     spark = edges.sparkSession
     now, path = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    last = None
-    for _ in range(max(60, now.count().bit_length() ** 2)):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    last, n = None, now.count()
+    together = (lambda rows: rows.coalesce(1).hint("merge")) if n <= few else (lambda rows: rows)
+    for _ in range(max(60, n.bit_length() ** 2)):
+        both = together(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large, large_path = materialize(large, "large-star")
+        large = together(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("x"), F.col("u").alias("y"), "m")
         small = small.select(F.explode(F.array(F.struct(F.col("x").alias("u"), F.col("m").alias("v")), F.struct(F.col("y").alias("u"), F.col("m").alias("v")))).alias("e"))

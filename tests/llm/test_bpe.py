@@ -4,6 +4,9 @@ import hashlib
 import json
 import random
 import struct
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -155,3 +158,21 @@ def test_awkward_rows_and_empty_table(awkward, nothing, library):
 def test_file_has_no_decoder():
     with open(PATH, encoding="utf-8") as f:
         assert json.load(f)["decoder"] is None
+
+
+def test_a_driver_does_not_hold_what_compiling_took():
+    """In a process of its own: what stays after the automaton was broadcast is a part of what compiling took."""
+    code = f"""
+import re
+from types import SimpleNamespace as N
+from girder.llm import bpe
+held = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+class Docs:
+    sparkSession = N(sparkContext=N(broadcast=lambda made: peak.append(held())))
+    def select(self, *_): raise StopIteration
+peak, bpe.F, bpe.text_or_empty, before = [], N(col=lambda _: N(cast=lambda _: N(cast=lambda _: N(alias=lambda _: 0)))), lambda _: N(alias=lambda _: 0), held()
+try: bpe.encode_documents(Docs(), {PATH!r})
+except StopIteration: print(peak[0] - before, held() - before)
+"""
+    took, kept = map(float, subprocess.run([sys.executable, "-c", code], cwd=Path(bpe.__file__).parents[2], capture_output=True, text=True, check=True).stdout.split())
+    assert took > 60 and kept < 0.4 * took

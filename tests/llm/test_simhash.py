@@ -126,3 +126,25 @@ def test_components_of_chains_and_stars(spark):
 @pytest.mark.parametrize("text", ["", "a", "a b", "A b C", "a b c d " * 10000])
 def test_fingerprints(text):
     assert simhash.fingerprint(text) == slow_fingerprint(text)
+
+
+def test_few_edges_are_closed_without_shuffles(spark):
+    """Steps over few edges don't cost a task for each shuffle partition, and end with the same roots."""
+    rng = np.random.default_rng(9)
+    edges = [(i, i + 1) for i in range(40)] + [(1000, int(x)) for x in rng.integers(1001, 1300, 400)] + [(int(x), int(y)) for x, y in rng.integers(2000, 2200, (150, 2))]
+    df = spark.createDataFrame(edges, "a long, b long")
+    spark.conf.set("spark.sql.shuffle.partitions", "61")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    status, found, tasks = spark.sparkContext.statusTracker(), [], []
+    try:
+        for few in (0, len(edges)):
+            spark.sparkContext.setJobGroup(f"few-{few}", "")
+            found.append(sorted(map(tuple, simhash.components(df, few=few).collect())))
+            stages = {s for j in status.getJobIdsForGroup(f"few-{few}") for s in status.getJobInfo(j).stageIds}
+            tasks.append(sum(i.numCompletedTasks for s in stages if (i := status.getStageInfo(s))))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found[0] == found[1]
+    assert tasks[1] < 250 < 1000 < tasks[0]
